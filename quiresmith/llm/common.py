@@ -17,9 +17,29 @@ GOLDEN = 0x9E3779B97F4A7C15
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by Spark's own reader; the path may be in any store that Spark knows."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, unless their Python path has it already."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and Path(p).resolve() == root for p in known) or getattr(spark.sparkContext, "_quire_shipped", False):
+        return
+    out = f"{tempfile.mkdtemp(prefix='quiresmith-')}/quiresmith.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((root / "quiresmith").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(out)
+    spark.sparkContext._quire_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -57,7 +77,7 @@ def discard(df: DataFrame | None) -> None:
 def partitions_for(spark: SparkSession, df: DataFrame, mb: int = 16) -> int:
     """Shuffle partitions for df, from the optimiser's estimate of its bytes on disk."""
     stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = int(stats.toString())
+    size = int(str(stats))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if size > 1 << 50:  # no estimate
         return least
@@ -101,8 +121,8 @@ def rolling(hashes: np.ndarray, width: int, base: int = 0x5851F42D4C957F2D) -> n
     if len(up) < n + 1:
         m = max(4096, 2 * n)
         inverse = pow(base, -1, 1 << 64)
-        up = np.cumprod(np.concatenate([[1], np.full(m, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[1], np.full(m, inverse, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        up = np.cumprod(np.insert(np.full(m, base, np.uint64), 0, np.uint64(1)), dtype=np.uint64)
+        down = np.cumprod(np.insert(np.full(m, inverse, np.uint64), 0, np.uint64(1)), dtype=np.uint64)
         _POWERS[base] = up, down
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * up[:n], out=total[1:])

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .bpe import op5_byte_bpe
 from .sharding import op2_minimax_sharding
+from .substring_dedup import OP6_SQL, op6_repeated_windows
 
 QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_repeated_windows": op6_repeated_windows,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_repeated_windows": OP6_SQL,
+}
