@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .sharding import op2_minimax_sharding
 from .substring_dedup import OP6_SQL, op6_repeated_windows
+from .token_store import op9_token_store
 
 QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_repeated_windows": op6_repeated_windows,
+    "op9_token_store": op9_token_store,
 }
 
 ORACLES: dict[str, str] = {
