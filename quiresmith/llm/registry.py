@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op5_byte_bpe
 from .language_id import op7_language_id
+from .pii import op1_weak_supervision_pii
 from .sharding import op2_minimax_sharding
 from .substring_dedup import OP6_SQL, op6_repeated_windows
 from .token_store import op9_token_store
 
 QUERIES = {
+    "op1_weak_supervision_pii": op1_weak_supervision_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_repeated_windows": op6_repeated_windows,
