@@ -1,7 +1,7 @@
 """Personal data: fixed base patterns, and spans that weak supervision adds.
 
-Base kinds are exact: leftmost non-overlapping matches, failing ones dropped. For further kinds (`secret`, `ssn`, `iban`,
-`person`) cheap rules propose candidates, and labelers of three sorts vote on each: regular expressions over
+Base kinds are exact: leftmost non-overlapping matches, failing ones dropped. A greedy base match that swallows its
+neighbours fails and hides a card or phone number; for those, and for further kinds (`secret`, `ssn`, `iban`, `person`), cheap rules propose candidates, and labelers of three sorts vote on each: regular expressions over
 its shape, gazetteers over the words before it, and context around it. A vote is for, against or none. Over
 all documents Spark counts how often each combination of votes and shape features occurs; expectation-
 maximisation over these counts (votes independent given the truth, reliabilities per labeler) gives every
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import batches, discard, materialise, table
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("secret", "ssn", "iban", "person")
+ADDED = ("card", "phone", "secret", "ssn", "iban", "person")
+KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban", "person")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -82,6 +83,8 @@ def base_spans(t: str | None) -> list[list[tuple[int, int]]]:
 
 # Word lists of the labelers.
 SECRET_KEYS = frozenset("password passwd pwd pass passphrase token secret apikey api_key api-key accesskey access_key access-key auth bearer credential credentials private_key client_secret key".split())
+CARD_KEYS = frozenset("card visa mastercard amex credit debit karte carte tarjeta pan".split())
+PHONE_KEYS = frozenset("phone tel telephone call mobile fax cell telefon tél teléfono contact".split())
 SSN_KEYS = frozenset("ssn social security".split())
 IBAN_KEYS = frozenset("iban account konto compte cuenta".split())
 HASH_KEYS = frozenset("commit sha sha1 sha256 md5 checksum etag revision rev isbn issn order invoice version page id".split())
@@ -93,6 +96,8 @@ VALUE = re.compile(r"[:=]\s{0,2}[\"'“]?([^\s\"'”,;<>]{6,200})")
 TOKEN = re.compile(r"[0-9][A-Za-z0-9+/_=-]*")
 TOKEN_LEFT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+NUMBER = re.compile(r"(?<![0-9+])(?:[3-6][0-9]{3}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5}|[3-6][0-9]{12,18})(?![0-9])")
+CALL = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,2}[ .-]?[0-9]{2,4}(?![0-9])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 PERSON = re.compile(r"(?<![^\W_])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?")
 WORD_BEFORE = re.compile(r"([^\W_][\w-]*)\W{0,4}\Z")
@@ -114,19 +119,23 @@ def _entropy(v: str) -> float:
 
 
 def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
-    """Votes of the labelers (1, -1 or 0), and a code of shape features below 96."""
+    """Votes of the labelers (1, -1 or 0), and a code of shape features below 144."""
     before = t[max(0, a - 40) : a]
     m = WORD_BEFORE.search(before)
     word = m[1].lower() if m else ""
     digits, letters = sum(c.isdigit() for c in v), sum(c.isalpha() for c in v)
     h = _entropy(v)
     mixed = digits > 0 and letters > 0
-    keys = {"secret": SECRET_KEYS, "ssn": SSN_KEYS, "iban": IBAN_KEYS, "person": PERSON_KEYS}[kind]
+    keys = {"card": CARD_KEYS, "phone": PHONE_KEYS, "secret": SECRET_KEYS, "ssn": SSN_KEYS, "iban": IBAN_KEYS, "person": PERSON_KEYS}[kind]
     if kind == "secret":
         shape = 1 if len(v) >= 16 and (HEX.match(v) and letters or mixed) else -1 if not digits else 0
     else:
         shape = 1
-    if kind == "iban":
+    if kind == "card":
+        check = 1 if 13 <= digits <= 19 and luhn(_digits(v)) else -1
+    elif kind == "phone":
+        check = 0 if 9 <= digits <= 15 else -1
+    elif kind == "iban":
         check = 1 if _iban_ok(v) else -1
     elif kind == "ssn":
         check = -1 if v[:3] in ("000", "666") or v[0] == "9" or v[4:6] == "00" or v[7:] == "0000" else 1
@@ -135,7 +144,7 @@ def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
     tail = before.rstrip("\"'“ ")
     got = [
         shape,
-        0 if kind == "person" else 1 if h >= 3 and mixed else -1 if h < 2.5 else 0,
+        0 if kind in ("card", "phone", "person") else 1 if h >= 3 and mixed else -1 if h < 2.5 else 0,
         check,
         1 if word in keys or any(word.endswith(k) for k in ("_key", "_token", "_secret", "password")) else 0,
         -1 if word in HASH_KEYS else 0,
@@ -149,6 +158,10 @@ def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
     return got, (ADDED.index(kind) * 4 + length) * 6 + min(2, int(h)) * 2 + mixed
 
 
+#: Of candidates that overlap, the first kind here stays.
+PREFER = ("person", "iban", "ssn", "phone", "card", "secret")
+
+
 def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, code) of the candidates of a text, apart from spans already taken."""
     if not t:
@@ -168,11 +181,14 @@ def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, i
                 found.append((k + 1 if 0 <= k < b - 6 else a, b, "secret"))
         if "-" in t:
             found += [(*m.span(), "ssn") for m in SSN.finditer(t)]
+        found += [(*m.span(), "card") for m in NUMBER.finditer(t)]
+        if "+" in t:
+            found += [(*m.span(), "phone") for m in CALL.finditer(t)]
         found += [(*m.span(), "iban") for m in IBAN.finditer(t)]
     if "r" in t or "s" in t:
         found += [(*m.span(), "person") for m in PERSON.finditer(t)]
     out, free = [], sorted(taken)
-    for a, b, kind in sorted(set(found), key=lambda x: (-ADDED.index(x[2]), x[0], -x[1])):
+    for a, b, kind in sorted(set(found), key=lambda x: (PREFER.index(x[2]), x[0], -x[1])):
         if b <= a or any(a < y and x < b for x, y in free):
             continue
         free.append((a, b))
@@ -180,12 +196,12 @@ def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, i
         code = 0
         for x in v:
             code = code * 3 + x + 1
-        out.append((ADDED.index(kind), a, b, code * 96 + shape))
+        out.append((ADDED.index(kind), a, b, code * 144 + shape))
     return sorted(out)
 
 
 def unpack(code: int) -> tuple[np.ndarray, int]:
-    v, shape = divmod(code, 96)
+    v, shape = divmod(code, 144)
     return np.array([v // 3**i % 3 - 1 for i in range(len(LABELERS) - 1, -1, -1)]), shape
 
 
@@ -246,38 +262,40 @@ class SpanClassifier:
                 break
 
     def accepted(self, threshold: float = 0.5) -> list[int]:
-        """Codes whose candidates become spans."""
+        """Codes whose candidates become spans; a failed check digit is a veto."""
         if not self.codes:
             return []
         p = 1 / (1 + np.exp(-np.clip(self._features(self.votes, self.shapes) @ self.w, -30, 30)))
-        return [c for c, q in zip(self.codes, p, strict=True) if q >= threshold]
+        check = self.votes[:, LABELERS.index("checksum")]
+        return [c for c, q, k in zip(self.codes, p, check, strict=True) if q >= threshold and k >= 0]
 
 
+SPANS = "array<struct<kind:int,a:int,b:int,code:long>>"
 CANDIDATE = pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("code", pa.int64())])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base, base_sha256, found): base spans joined, and the candidates."""
+    """(id, n_email, n_ip, n_card, n_phone, base, base_sha256, found): base spans, and the candidates."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
-            counts, joined, shas, found = [[], [], [], []], [], [], []
+            counts, base, shas, found = [[], [], [], []], [], [], []
             for t in batch.column(1).to_pylist():
                 spans = base_spans(t)
                 for c, s in zip(counts, spans, strict=True):
                     c.append(len(s))
                 text = ",".join(f"{k}:{a}:{b}" for k, s in zip(BASE, spans, strict=True) for a, b in s)
-                joined.append(text)
+                base.append([{"kind": k, "a": a, "b": b, "code": -1} for k, s in enumerate(spans) for a, b in s])
                 shas.append(hashlib.sha256(text.encode()).hexdigest())
-                found.append([{"kind": k, "a": a, "b": b, "code": c} for k, a, b, c in candidates(t, [x for s in spans for x in s])])
+                found.append([{"kind": KINDS.index(ADDED[k]), "a": a, "b": b, "code": c} for k, a, b, c in candidates(t, [x for s in spans for x in s])])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(joined, pa.string()), pa.array(shas, pa.string()), pa.array(found, pa.list_(CANDIDATE))],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.list_(CANDIDATE)), pa.array(shas, pa.string()), pa.array(found, pa.list_(CANDIDATE))],
                 ["id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "found"],
             )
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, found array<struct<kind:int,a:int,b:int,code:long>>")
+    return narrow.mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base {SPANS}, base_sha256 string, found {SPANS}")
 
 
 def fit(scanned: DataFrame) -> SpanClassifier:
@@ -289,10 +307,10 @@ def fit(scanned: DataFrame) -> SpanClassifier:
 def label(scanned: DataFrame, model: SpanClassifier) -> DataFrame:
     """scanned with `spans`: the base spans and the accepted candidates by kind, then start."""
     codes = [int(c) for c in model.accepted()]
-    keep = F.filter("found", lambda c: c["code"].isin(codes)) if codes else F.array().cast("array<struct<kind:int,a:int,b:int,code:long>>")
-    names = F.array(*(F.lit(k) for k in ADDED))
-    added = F.transform(F.array_sort(keep), lambda c: F.concat_ws(":", F.get(names, c["kind"]), c["a"], c["b"]))
-    return scanned.withColumn("spans", F.array_join(F.filter(F.concat(F.array("base"), added), lambda s: s != ""), ","))
+    keep = F.filter("found", lambda c: c["code"].isin(codes)) if codes else F.array().cast(SPANS)
+    names = F.array(*(F.lit(k) for k in KINDS))
+    every = F.array_sort(F.concat("base", keep))  # by kind, then start
+    return scanned.withColumn("spans", F.array_join(F.transform(every, lambda c: F.concat_ws(":", F.get(names, c["kind"]), c["a"], c["b"])), ","))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
