@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .embedding_dedup import OP3_SQL, op3_subspace_pigeonhole
 from .language_id import op7_language_id
 from .pii import op1_weak_supervision_pii
 from .sharding import op2_minimax_sharding
@@ -12,6 +13,7 @@ from .token_store import op9_token_store
 QUERIES = {
     "op1_weak_supervision_pii": op1_weak_supervision_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
+    "op3_subspace_pigeonhole": op3_subspace_pigeonhole,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_repeated_windows": op6_repeated_windows,
     "op7_language_id": op7_language_id,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_subspace_pigeonhole": OP3_SQL,
     "op6_repeated_windows": OP6_SQL,
 }
