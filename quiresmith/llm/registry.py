@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .embedding_dedup import OP3_SQL, op3_subspace_pigeonhole
 from .language_id import op7_language_id
+from .ngram_join import op10_ngram_jaccard
 from .pii import op1_weak_supervision_pii
 from .sharding import op2_minimax_sharding
 from .substring_dedup import OP6_SQL, op6_repeated_windows
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_repeated_windows": op6_repeated_windows,
     "op7_language_id": op7_language_id,
     "op9_token_store": op9_token_store,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
