@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .decontamination import op8_cgk_decontamination
 from .embedding_dedup import OP3_SQL, op3_subspace_pigeonhole
 from .language_id import op7_language_id
 from .ngram_join import op10_ngram_jaccard
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_repeated_windows": op6_repeated_windows,
     "op7_language_id": op7_language_id,
+    "op8_cgk_decontamination": op8_cgk_decontamination,
     "op9_token_store": op9_token_store,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
