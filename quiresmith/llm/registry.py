@@ -10,12 +10,14 @@ from .ngram_join import op10_ngram_jaccard
 from .pii import op1_weak_supervision_pii
 from .sharding import op2_minimax_sharding
 from .substring_dedup import OP6_SQL, op6_repeated_windows
+from .suffix_dedup import op4_suffix_array_dedup
 from .token_store import op9_token_store
 
 QUERIES = {
     "op1_weak_supervision_pii": op1_weak_supervision_pii,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_subspace_pigeonhole": op3_subspace_pigeonhole,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_repeated_windows": op6_repeated_windows,
     "op7_language_id": op7_language_id,
