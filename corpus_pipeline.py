@@ -1,11 +1,68 @@
-"""Cleaning pipeline over documents: stages of (spark, docs, sf_dir) -> DataFrame."""
+"""Cleaning pipeline over documents, from raw rows to token ids.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quiresmith.llm import bpe, decontamination, language_id, ngram_join, pii
+from quiresmith.llm.common import materialise, ship_package, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those that the model rejects go (null and letterless texts among them)."""
+    ship_package(spark)
+    model = language_id.train(*language_id.training_rows(docs))
+    return language_id.keep_known(docs, model)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-gram Jaccard similarity of 0.8 or more: the least doc_id."""
+    ship_package(spark)
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the new text."""
+    ship_package(spark)
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    ship_package(spark)
+    got = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return got.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard", near_duplicate_stage),
+    ("decontamination", benchmark_stage),
+    ("pii", personal_data_stage),
+    ("byte_bpe", token_stage),
+]
+
+#: No SQL: a trained model, MinHash and a tokenizer's merges aren't SQL; tests hold every stage to brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, over the whole documents table; each result is a written table."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, f"stage-{name}")
     return docs

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import batches, mix, table
 
 #: Labelled rows and bytes of text that a model is fitted on, at most.
 SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
@@ -34,11 +33,28 @@ REJECT = 0.0005
 LETTER = regex.compile(r"\p{L}")
 
 
-def subwords(word: str) -> np.ndarray:
-    """Rows of the embedding matrix for a word: itself and its 1- to 4-grams with boundary marks."""
-    w = f"<{word.lower()}>"
-    grams = {w, *(w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))}
-    return np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)], np.int64)
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the embedding matrix, place of the word) of the words' subwords, all words at once.
+
+    A word in lower case between boundary marks gives itself and its 1- to 4-grams, as often as they occur.
+    """
+    marked = [f"<{w.lower()}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    rows, owners = [], []
+    gram = np.zeros(len(codes), np.uint64)
+    for n in (1, 2, 3, 4):
+        gram = gram[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        inside = owner[: len(gram)] == owner[n - 1 :]
+        rows.append(gram[inside] ^ np.uint64(n << 56))
+        owners.append(owner[: len(gram)][inside])
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    if len(marked):
+        rows.append(np.add.reduceat(mix(codes + (place.astype(np.uint64) << np.uint64(32))), starts))
+        owners.append(np.arange(len(marked)))
+    return (mix(np.concatenate(rows)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
 class Model:
@@ -49,6 +65,14 @@ class Model:
         self.at: dict[str, int] = {}
         self.sums = np.zeros((1024, len(labels) + 1))
 
+    def learn(self, texts: list[str | None]) -> None:
+        """Work out the words of many texts together (speed only)."""
+        new: set[str] = set()
+        for t in texts:
+            new.update(t.split() if t else ())
+        if self.labels:
+            self._rows(list(new))
+
     def _rows(self, words: list[str]) -> np.ndarray:
         at = self.at
         try:
@@ -56,15 +80,17 @@ class Model:
         except KeyError:
             if len(at) > KEPT_WORDS:
                 at.clear()
-            for w in set(words).difference(at):
-                k = at[w] = len(at)
-                if k >= len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                if LETTER.search(w):
-                    rows = subwords(w)
-                    self.sums[k, :-1], self.sums[k, -1] = self.weights[rows].sum(0), len(rows)
-                else:
-                    self.sums[k] = 0
+            new = list(set(words).difference(at))
+            first = len(at)
+            at.update(zip(new, range(first, first + len(new)), strict=True))
+            if len(at) > len(self.sums):
+                self.sums = np.concatenate([self.sums[:first], np.zeros((2 * len(at) - first, self.sums.shape[1]))])
+            self.sums[first : len(at)] = 0
+            lettered = np.array([k for k, w in enumerate(new) if w.isalpha() or LETTER.search(w)], np.int64)
+            rows, owner = subwords([new[k] for k in lettered])
+            for c in range(len(self.labels)):
+                self.sums[first + lettered, c] = np.bincount(owner, self.weights[rows, c], len(lettered))
+            self.sums[first + lettered, -1] = np.bincount(owner, minlength=len(lettered))
             return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -96,16 +122,15 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, ra
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     emb, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, c)), np.zeros(c)
-    kept: dict[str, np.ndarray] = {}
     bags, ys = [], []
     for text, lang in zip(texts, langs, strict=True):
-        words = [w for w in text.split() if LETTER.search(w)]
-        if not words:
+        words, times = np.unique([w for w in text.split() if LETTER.search(w)], return_counts=True)
+        if not len(words):
             continue
-        for w in set(words).difference(kept):
-            kept[w] = subwords(w)
-        rows, n = np.unique(np.concatenate([kept[w] for w in words]), return_counts=True)
-        bags.append((rows, n / n.sum()))
+        rows, owner = subwords(words.tolist())
+        n = np.bincount(rows, times[owner])
+        rows = np.flatnonzero(n)
+        bags.append((rows, n[rows] / n.sum()))
         ys.append(labels.index(lang))
     order = rng.permutation(len(bags))
     held = order[::5] if len(bags) >= 50 else order[:0]
@@ -175,8 +200,10 @@ def identify(docs: DataFrame, model: Model, id_col: str | None = None, text_col:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Model(*shared.value)
-        for batch in batches(it, "text"):
-            got = [local.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        for batch in batches(it, "text", 4 << 20):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            local.learn(texts)
+            got = [local.predict(t) for t in texts]
             cols = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "text"]
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], [*names, "lang_pred", "score", "rejected"])
@@ -186,6 +213,29 @@ def identify(docs: DataFrame, model: Model, id_col: str | None = None, text_col:
     return narrow.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """docs without the rows that the model rejects; a null lang_col gets the prediction, all else stays as it is."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.temperature, model.threshold))
+    names = docs.columns
+    at = names.index(text_col)
+    lang = names.index(lang_col) if lang_col in names else None
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = Model(*shared.value)
+        for batch in batches(it, text_col, 4 << 20):
+            texts = batch.column(at).to_pylist()
+            local.learn(texts)
+            got = [local.predict(t) for t in texts]
+            cols = list(batch.columns)
+            if lang is not None and cols[lang].null_count and pa.types.is_string(cols[lang].type):
+                cols[lang] = pa.array([g[0] if x is None else x for g, x in zip(got, cols[lang].to_pylist(), strict=True)], pa.string())
+            rest = pa.array([k for k, g in enumerate(got) if not g[2]], pa.int64())
+            yield pa.RecordBatch.from_arrays([c.take(rest) for c in cols], names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     """Rows kept from training, as a Column: crc32 of the id as text, modulo 4, is 2; a null id isn't held out."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
