@@ -1,0 +1,43 @@
+"""Column ranges of a page from its ink profile: (page_id, x, ink, w, h), one row a pixel column."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def smooth(ink: DataFrame, k: int) -> DataFrame:
+    """Moving average over k columns; beyond the edges there is no ink, and k stays the divisor."""
+    frame = Window.partitionBy("page_id").orderBy("x").rowsBetween(-(k // 2), (k - 1) // 2)
+    return ink.withColumn("smoothed", F.sum("ink").over(frame) / k)
+
+
+def boundaries(smoothed: DataFrame, low: float = 0.01, high: float = 0.55) -> DataFrame:
+    """Adds boundary, and the page's left and right edges of content (null if there is none)."""
+    out = smoothed.withColumn("boundary", (F.col("smoothed") < F.col("h") * low) | (F.col("smoothed") > F.col("h") * high))
+    page = Window.partitionBy("page_id")
+    inner = F.when(~F.col("boundary"), F.col("x"))
+    return out.withColumn("left", F.min(inner).over(page)).withColumn("right", F.max(inner).over(page) + 1)
+
+
+def gutters(bounded: DataFrame) -> DataFrame:
+    """(page_id, gs, ge): runs of boundary between the edges that are wide enough, [gs, ge)."""
+    inside = bounded.where("boundary and x >= left and x < right")
+    runs = inside.withColumn("run", F.col("x") - F.row_number().over(Window.partitionBy("page_id").orderBy("x")))
+    wide = F.greatest(F.lit(8), F.floor(F.col("w") * 0.005))
+    return runs.groupBy("page_id", "run", "w").agg(F.min("x").alias("gs"), (F.max("x") + 1).alias("ge")).where(F.col("ge") - F.col("gs") >= wide).select("page_id", "gs", "ge")
+
+
+def column_ranges(bounded: DataFrame) -> DataFrame:
+    """(page_id, ord, x_start, x_end): content cut at the middles of gutters; narrow ranges go; none left means all of the content, none at all the page."""
+    pages = bounded.groupBy("page_id").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("w").alias("w"))
+    cuts = gutters(bounded).groupBy("page_id").agg(F.sort_array(F.collect_list(F.floor((F.col("gs") + F.col("ge")) / 2).cast("long"))).alias("cuts"))
+    out = pages.join(cuts, "page_id", "left")
+    marks = F.when(F.col("left").isNotNull(), F.concat(F.array("left"), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array("right")))
+    pair = lambda a, b: F.struct(a.cast("long").alias("x_start"), b.cast("long").alias("x_end"))
+    ranges = F.transform(F.slice("m", F.lit(1), F.size("m") - 1), lambda a, i: pair(a, F.element_at("m", i + 2)))
+    least = F.greatest(F.lit(120), F.floor(F.col("w") * 0.15))
+    content = F.array(pair(F.col("left"), F.col("right")))
+    wide = F.filter(ranges, lambda r: r["x_end"] - r["x_start"] >= least)
+    kept = F.when(F.col("left").isNull(), F.array(pair(F.lit(0), F.col("w")))).when(F.col("cuts").isNull() | (F.size(wide) == 0), content).otherwise(wide)
+    return out.withColumn("m", marks).select("page_id", F.posexplode(kept).alias("ord", "r")).select("page_id", F.col("ord").cast("long").alias("ord"), "r.x_start", "r.x_end")
