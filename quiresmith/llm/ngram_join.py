@@ -40,7 +40,9 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: i
     best = (hashes, 1)
     for rows in range(1, hashes + 1):
         hit = threshold**rows
-        bands = 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        if hit < 1e-12:
+            break
+        bands = 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if bands * rows <= hashes:
             best = bands, rows
     return best

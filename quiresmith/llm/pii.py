@@ -158,6 +158,12 @@ def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
     return got, (ADDED.index(kind) * 4 + length) * 6 + min(2, int(h)) * 2 + mixed
 
 
+def _keyed(t: str, at: int) -> bool:
+    """Whether the word before a place names a secret; a value without digits needs that to be a candidate."""
+    m = WORD_BEFORE.search(t[max(0, at - 40) : at])
+    return m is not None and m[1].lower() in SECRET_KEYS
+
+
 #: Of candidates that overlap, the first kind here stays.
 PREFER = ("person", "iban", "ssn", "phone", "card", "secret")
 
@@ -168,7 +174,7 @@ def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, i
         return []
     found: list[tuple[int, int, str]] = []
     if "=" in t or ":" in t:
-        found += [(m.start(1), m.start(1) + len(m[1].rstrip(".!?)")), "secret") for m in VALUE.finditer(t)]
+        found += [(m.start(1), m.start(1) + len(m[1].rstrip(".!?)")), "secret") for m in VALUE.finditer(t) if DIGIT.search(m[1]) or _keyed(t, m.start())]
     if DIGIT.search(t):
         for m in TOKEN.finditer(t):
             a, b = m.span()
