@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import batches, table
 
 #: Pieces that a worker keeps with their ids; beyond it the store starts anew (speed only).
-KEPT_PIECES = 600_000
+KEPT_PIECES = 200_000
 #: Cells of a bucket's matrix.
 CELLS = 1 << 21
 NONE = np.int32(2**31 - 1)

@@ -87,7 +87,7 @@ def partitions_for(spark: SparkSession, df: DataFrame, mb: int = 16) -> int:
 class WordHashes:
     """64-bit hashes of words (bytes); keeps those seen, at most `bound` of them (a cache: results are the same without)."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         self.bound, self.seen = bound, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:

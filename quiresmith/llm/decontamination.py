@@ -36,9 +36,9 @@ from .common import batches, mix, rolling, table
 
 SHARE, RECALL, PLACES, MOST_REPEATS, BLOCK_BYTES = 0.2, 0.99, 2, 512, 4 << 20
 #: Bytes of text scanned together.
-SCAN_BYTES = 24 << 20
+SCAN_BYTES = 12 << 20
 #: Normalised words that a worker keeps with their hashes (speed only).
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 SEED = 0x6A09E667F3BCC909
 
 

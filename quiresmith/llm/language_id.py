@@ -27,7 +27,7 @@ from .common import batches, mix, table
 SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
 BUCKETS, DIM = 1 << 15, 16
 #: Words that a worker keeps with their logits (speed only).
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Share of held-back texts of known languages that the threshold may reject.
 REJECT = 0.0005
 LETTER = regex.compile(r"\p{L}")
