@@ -14,8 +14,9 @@ corpus is cut into small pieces that can be compared alone, without loss:
    linear grouping (see suffix_array). Windows that are neighbours in it and agree in LENGTH bytes are equal; all
    but the earliest go.
 
-An anchor with over `MOST` different contexts is divided by ever shorter runs of windows and the bytes these
-share, down to single windows, so no group is large however common a passage is.
+An anchor with over `MOST` different contexts isn't gathered: its windows' hashes (two of 64 bits) travel packed as the
+anchors' did and are judged in the same way, so no group is large however common a passage is. A context none of whose
+windows has the hash of another's is left out of the suffix array; nothing in it repeats.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; texts under LENGTH bytes lose
 nothing; rows equal in id and text count as one document and get the same result; a null id comes before all
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +38,8 @@ from pyspark.sql import functions as F
 from .common import batches, discard, groups, materialise, mix, partitions_for, rolling, table
 from .suffix_array import suffix_array
 
-LENGTH, GRAM, MOST, SEGMENT = 100, 50, 256, 1 << 20
-#: Runs of windows that a group over MOST contexts is divided into, one after the other.
-RUNS = (0, 12, 3, 1)
+LENGTH, GRAM, MOST, SEGMENT = 100, 50, 4096, 1 << 20
+SECOND = 0x2545F4914F6CDD1D
 BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 LOW = np.uint64((1 << 24) - 1)
 
@@ -78,9 +77,12 @@ def _anchors(raw: bytes, base: int, length: int, gram: int) -> tuple[np.ndarray,
 SINGLE, COPY, ALONE, COMPARE = 0, 1, 2, 3
 
 
-def judge(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each anchor of a bucket: SINGLE, COPY of an earlier context, or first context, ALONE or to COMPARE."""
-    order = np.lexsort((doc, context, key))  # stable: places within a document stay ascending
+def judge(key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """For each anchor of a bucket: SINGLE, COPY of an earlier context, or first context, ALONE or to COMPARE.
+
+    Without place, the entries of a document stand in ascending order already.
+    """
+    order = np.lexsort((doc, context, key) if place is None else (place, doc, context, key))  # stable
     k, c = key[order], context[order]
     new_key = np.concatenate([[True], k[1:] != k[:-1]])
     new = new_key | np.concatenate([[True], c[1:] != c[:-1]])
@@ -92,15 +94,23 @@ def judge(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: int) -> DataFrame:
-    """(id, h, states) of the documents (id, h, text) that have an anchor found elsewhere; one byte an anchor."""
+def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: int, windows: bool = False) -> DataFrame:
+    """(id, h, start, states) of the rows (id, h, start, text) that have an anchor found elsewhere; one byte an anchor.
+
+    With windows, texts are contexts that begin at `start` of their document, and every window takes an anchor's part.
+    """
     shift = np.uint64(64 - (buckets - 1).bit_length())
     small = np.uint8 if buckets <= 256 else np.uint16 if buckets <= 65536 else np.uint32
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
         for batch in batches(it, "text", batch_bytes):
-            found = [anchors(t.as_buffer().to_pybytes() if t.is_valid else b"", length, gram) for t in batch.column(2)]
+            raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2)]
+            if windows:
+                codes = [BYTE[np.frombuffer(r, np.uint8)] for r in raws]
+                found = [(rolling(c, length), None, None, None, rolling(c, length, SECOND)) for c in codes]
+            else:
+                found = [anchors(r, length, gram) for r in raws]
             sizes = np.array([len(f[0]) for f in found], np.int64)
             if not sizes.sum():
                 continue
@@ -111,8 +121,11 @@ def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: i
             order = np.argsort(bucket, kind="stable")
             n = np.bincount(bucket, minlength=buckets)
             ends, has = np.cumsum(n), np.flatnonzero(n)
-            key, context, doc = key[order], context[order], doc[order]
-            blobs = [b"".join(x[ends[b] - n[b] : ends[b]].tobytes() for x in (key, context, doc)) for b in has]
+            sent = [key[order], context[order], doc[order]]
+            if windows:
+                start = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+                sent.append((np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))[order])
+            blobs = [b"".join(x[ends[b] - n[b] : ends[b]].tobytes() for x in sent) for b in has]
             uid = (part << 32) | count
             count += 1
             yield pa.RecordBatch.from_arrays(
@@ -123,18 +136,19 @@ def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: i
                     pa.array([None] * len(has) + [sizes.tolist()], pa.list_(pa.int64())),
                     pa.array([None] * len(has) + [batch.column(0).to_pylist()], pa.list_(pa.int64())),
                     pa.array([None] * len(has) + [batch.column(1).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([None] * len(has) + [batch.column(3).to_pylist()], pa.list_(pa.int32())),
                 ],
-                ["bucket", "uid", "blob", "sizes", "ids", "hs"],
+                ["bucket", "uid", "blob", "sizes", "ids", "hs", "starts"],
             )
 
-    packed = "bucket long, uid long, blob binary, sizes array<long>, ids array<long>, hs array<long>"
+    packed = "bucket long, uid long, blob binary, sizes array<long>, ids array<long>, hs array<long>, starts array<int>"
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in groups(it, ["bucket"]):
             if bucket >= 0:
-                parts = [np.frombuffer(b.as_buffer(), np.uint64).reshape(3, -1) for b in rows.column("blob")]
+                parts = [np.frombuffer(b.as_buffer(), np.uint64).reshape(3 + windows, -1) for b in rows.column("blob")]
                 whole = np.concatenate(parts, axis=1)
-                state = judge(whole[0], whole[1], whole[2].view(np.int64))
+                state = judge(whole[0], whole[1], *(x.view(np.int64) for x in whole[2:]))
                 cuts = np.cumsum([p.shape[1] for p in parts])[:-1]
                 at = rows.schema.get_field_index("blob")
                 rows = rows.set_column(at, rows.schema.field(at), pa.array([s.tobytes() for s in np.split(state, cuts)], pa.binary()))
@@ -146,28 +160,30 @@ def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: i
             state = np.empty(len(bucket), np.uint8)
             got = [np.frombuffer(b.as_buffer(), np.uint8) for b in rows.column("blob").slice(1)]
             state[np.argsort(bucket, kind="stable")] = np.concatenate(got)
-            out, at = ([], [], []), 0
-            for i, h, n in zip(rows.column("ids")[0].as_py(), rows.column("hs")[0].as_py(), rows.column("sizes")[0].as_py(), strict=True):
+            out, at = ([], [], [], []), 0
+            for i, h, a, n in zip(*(rows.column(c)[0].as_py() for c in ("ids", "hs", "starts", "sizes")), strict=True):
                 s = state[at : at + n]
                 at += n
                 if (s != SINGLE).any():
                     out[0].append(i)
                     out[1].append(h)
-                    out[2].append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["id", "h", "states"])
+                    out[2].append(a)
+                    out[3].append(s.tobytes())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "h", "start", "states"])
 
     def once(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for rows equal in id and text: what is first in any of them is first."""
         for batch in it:
-            lists = batch.column(2)
+            lists = batch.column(3)
             best = [np.max([np.frombuffer(x.as_buffer(), np.uint8) for x in one.values], axis=0).tobytes() if len(one) > 1 else one.values[0].as_py() for one in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.binary())], ["id", "h", "states"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, pa.binary())], ["id", "h", "start", "states"])
 
     tasks = partitions_for(docs.sparkSession, docs, 8)
     hashed = docs.mapInArrow(pack, packed).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     marked = hashed.mapInArrow(mark, packed).repartition(tasks, "uid").sortWithinPartitions("uid", "bucket")
-    each = marked.mapInArrow(merge, "id long, h long, states binary")
-    return each.groupBy("id", "h").agg(F.collect_set("states").alias("all")).mapInArrow(once, "id long, h long, states binary")
+    each = marked.mapInArrow(merge, "id long, h long, start int, states binary")
+    return each.groupBy("id", "h", "start").agg(F.collect_set("states").alias("all")).mapInArrow(once, "id long, h long, start int, states binary")
 
 
 def contexts(docs: DataFrame, known: DataFrame, length: int, gram: int) -> DataFrame:
@@ -222,7 +238,7 @@ def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarra
 
 
 def compare(rows: DataFrame, length: int, tasks: int, most: int) -> DataFrame:
-    """rows (key, id, h, start, anchor, raw) -> the same with cuts: int32 pairs, or null for rows to divide further."""
+    """rows (key, id, h, start, anchor, raw) -> the same with cuts: int32 pairs, or null where the group is too large."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, large in _streams(it, most):
@@ -277,7 +293,7 @@ def _cuts(ids: list, hs: list, starts: list[int], raws: list[bytes], length: int
                 out[k] = np.array([starts[k], starts[k] + len(raws[k])], np.int32).tobytes()
         else:
             first[raws[k]] = k
-    some = list(first.values())
+    some = _sharing(raws, list(first.values()), length)
     if len(some) > 1:
         for k, gone in zip(some, repeated_windows([raws[k] for k in some], length), strict=True):
             if gone.any():
@@ -286,25 +302,16 @@ def _cuts(ids: list, hs: list, starts: list[int], raws: list[bytes], length: int
     return out
 
 
-def divide(rows: DataFrame, run_length: int, length: int) -> DataFrame:
-    """Contexts cut into runs of at most run_length windows, keyed by the anchor and the bytes all of a run's windows share."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out: tuple = ([], [], [], [], [], [])
-            for key, i, h, start, anchor, raw in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
-                last = start + len(raw) - length
-                low = start - (start - anchor) % run_length  # runs at fixed distances from the anchor
-                for a in range(low, last + 1, run_length):
-                    x, y = max(a, start), min(a + run_length - 1, last)
-                    core = raw[a + run_length - 1 - start : a + length - start]  # lies in the context even where the run is cut short
-                    new = xxhash.xxh3_64_intdigest(core + b"%d %d %d" % (key, a - anchor, run_length))
-                    for c, v in zip(out, (new - (1 << 64) if new >> 63 else new, i, h, x, anchor, raw[x - start : y - start + length]), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "id", "h", "start", "anchor", "raw"])
-
-    return rows.select("key", "id", "h", "start", "anchor", "raw").mapInArrow(run, "key long, id long, h long, start int, anchor int, raw binary")
+def _sharing(raws: list[bytes], some: list[int], length: int) -> list[int]:
+    """Those contexts that have a window whose hash another window has too."""
+    hashes = [rolling(BYTE[np.frombuffer(raws[k], np.uint8)], length) for k in some]
+    flat = np.concatenate(hashes)
+    order = np.argsort(flat)
+    same = flat[order[1:]] == flat[order[:-1]]
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    owner = np.repeat(np.arange(len(some)), [len(h) for h in hashes])
+    return [some[k] for k in np.unique(owner[hit]).tolist()]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, buckets: int | None = None, batch_bytes: int = 8 << 20, with_bytes: bool = True) -> DataFrame:
@@ -313,24 +320,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     tasks = partitions_for(spark, narrow, 8)
     buckets = buckets or max(64, 1 << (partitions_for(spark, narrow, 8) - 1).bit_length())
-    known = materialise(states(narrow, length, gram, buckets, batch_bytes), "states")
+    known = materialise(states(narrow.select("id", "h", "text", F.lit(0).alias("start")), length, gram, buckets, batch_bytes), "states")
     found = materialise(contexts(narrow, known, length, gram), "contexts")
     discard(known)
     rows = found.select("id", "h", F.explode("found").alias("c")).select("c.key", "id", "h", "c.start", "c.anchor", "c.raw")
-    cuts = [found.where(F.length("cuts") > 0).select("id", "h", "cuts")]
-    for run_length in RUNS[1:]:
-        done = materialise(compare(rows, length, tasks, most), "compared")
-        cuts.append(done.where("cuts is not null").select("id", "h", "cuts"))
-        rows = done.where("cuts is null")
-        if rows.isEmpty():
-            break
-        rows = divide(rows, run_length, length)
-    else:
-        # single windows: a group is one string, so it is compared whole by its least place
-        one = rows.withColumn("at", F.struct(F.col("id"), F.col("h"), F.col("start")))
-        least = one.groupBy("key", "raw").agg(F.min("at").alias("least"))
-        late = one.join(least, ["key", "raw"]).where(~F.col("at").eqNullSafe(F.col("least")))
-        cuts.append(_pairs(late.select("id", "h", "start"), length))
+    done = materialise(compare(rows, length, tasks, most), "compared")
+    cuts = [found.where(F.length("cuts") > 0).select("id", "h", "cuts"), done.where("cuts is not null").select("id", "h", "cuts")]
+    large = done.where("cuts is null").select("id", "h", F.col("raw").alias("text"), "start")
+    cuts.append(_copies(states(large, length, gram, buckets, batch_bytes, windows=True), length))
     every = cuts[0]
     for c in cuts[1:]:
         every = every.unionByName(c)
@@ -339,13 +336,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return both.mapInArrow(lambda it: _apply(it, with_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
-def _pairs(rows: DataFrame, length: int) -> DataFrame:
+def _copies(judged: DataFrame, length: int) -> DataFrame:
+    """(id, h, cuts): runs of windows that are copies."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cuts = [np.array([s, s + length], np.int32).tobytes() for s in batch.column(2).to_pylist()]
+            cuts = []
+            for a, s in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                gone = np.frombuffer(s.as_buffer(), np.uint8) == COPY
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).reshape(-1, 2)
+                cuts.append((edge + [0, length - 1] + a).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.binary())], ["id", "h", "cuts"])
 
-    return rows.mapInArrow(run, "id long, h long, cuts binary")
+    return judged.mapInArrow(run, "id long, h long, cuts binary").where(F.length("cuts") > 0)
 
 
 def _apply(it: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
