@@ -19,6 +19,7 @@ sorts first; an empty table gives a store without rows; other columns of the inp
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -32,7 +33,9 @@ from .common import batches, discard, materialise, mix, partitions_for, rolling,
 
 WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
 #: Words that a worker keeps with their ids (speed only).
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
+#: Marks that the pre-tokenizer cuts off a word of letters before them.
+STOPS = frozenset(".,;:!?")
 PLANES = 4
 
 
@@ -78,6 +81,14 @@ def unpack(data: bytes) -> bytes:
     return np.frombuffer(zlib.decompress(data), np.uint8).reshape(PLANES, -1).T.tobytes()
 
 
+def lowered(t: str) -> str:
+    """t in lower case where that is what the tokenizer makes of it anyway, so that fewer words are told apart.
+
+    Not where letters lower by context or to more than one character, or where composing would come between.
+    """
+    return t.lower() if t.isascii() or "Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t) else t
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library.
 
@@ -87,24 +98,65 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        """path: a tokenizer whose normaliser is NFC, white space to spaces, lower case."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each one piece to the tokenizer: encoded in one text, cut at ends of words.
+
+        Where the number of ends isn't that of the words, they are encoded one by one instead.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(ends) != len(words) or len(ends) and ends[-1] != len(ids):
+            return self._each(words)
+        raw, at, out = ids.tobytes(), 0, []
+        for e in (4 * ends).tolist():
+            out.append(raw[at:e])
+            at = e
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode words: of letters together, of letters and one stop as both parts, others one by one."""
+        kept = self.kept
+        plain, stopped, rest = set(), [], []
+        for w in words:
+            if w.isalpha():
+                plain.add(w)
+            elif w[-1:] in STOPS and w[:-1].isalpha():
+                stopped.append(w)
+                if w[:-1] not in kept:
+                    plain.add(w[:-1])
+                if w[-1] not in kept and w[-1] not in words:
+                    rest.append(w[-1])
+            else:
+                rest.append(w)
+        rest, plain = list(dict.fromkeys(rest)), list(plain)
+        for at in range(0, len(rest), 4096):
+            kept.update(zip(rest[at : at + 4096], self._each(rest[at : at + 4096]), strict=True))
+        for at in range(0, len(plain), 512):
+            kept.update(zip(plain[at : at + 512], self._together(plain[at : at + 512]), strict=True))
+        for w in stopped:
+            kept[w] = kept[w[:-1]] + kept[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         new: set[str] = set()
         for words in split:
             new.update(words)
-        fresh = list(new.difference(self.kept))
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.kept[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(new.difference(self.kept))
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
