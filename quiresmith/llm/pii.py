@@ -9,7 +9,7 @@ combination a posterior, and a logistic classifier trained on the posteriors dec
 spans. Combinations are few whatever the corpus, so the driver sees a bounded table, never documents.
 
 Defined cases: null and empty texts have no spans; spans are code points, end exclusive; candidates that
-overlap a base span, or an earlier candidate, are dropped; with no candidates the base spans alone are
+overlap a base span, or an earlier candidate, are dropped, secrets of over 200 characters keep the parts that are free; with no candidates the base spans alone are
 returned; repeated rows alike; an empty table gives no rows; extra columns of the input are ignored.
 """
 
@@ -92,7 +92,9 @@ TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame señor señora".
 GIVEN = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna maria peter hans klaus pierre marie jean juan carlos carmen jose".split())
 PERSON_KEYS = frozenset("name contact by from signed author regards sincerely called".split())
 
-VALUE = re.compile(r"[:=]\s{0,2}[\"'“]?([^\s\"'”,;<>]{6,200})")
+VALUE = re.compile(r"[:=]\s{0,2}[\"'“]?([^\s\"'”,;<>]{6,})")
+#: A value longer than this may hold other things, which split it.
+LONG = 200
 TOKEN = re.compile(r"[0-9][A-Za-z0-9+/_=-]*")
 TOKEN_LEFT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -168,13 +170,36 @@ def _keyed(t: str, at: int) -> bool:
 PREFER = ("person", "iban", "ssn", "phone", "card", "secret")
 
 
+def _values(t: str) -> Iterator[tuple[int, int]]:
+    """Whole values after : or =; a long URL ends where a value inside it begins, so that its parameters are judged too."""
+    at = 0
+    while m := VALUE.search(t, at):
+        a, at = m.span(1)
+        keyed = _keyed(t, m.start())
+        if at - a > LONG and not keyed and (t.startswith("//", a) or "://" in m[1]):
+            inner = VALUE.search(t, a + LONG, at)
+            at = inner.start() if inner else at
+        b = a + len(t[a:at].rstrip(".!?)"))
+        if keyed or DIGIT.search(t, a, b):
+            yield a, b
+
+
+def _free_parts(a: int, b: int, free: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What spans in `free` leave of a..b, parts of 6 characters or more."""
+    out = []
+    for x, y in sorted(s for s in free if a < s[1] and s[0] < b):
+        out.append((a, x))
+        a = max(a, y)
+    return [(x, y) for x, y in [*out, (a, b)] if y - x >= 6]
+
+
 def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(kind, start, end, code) of the candidates of a text, apart from spans already taken."""
     if not t:
         return []
     found: list[tuple[int, int, str]] = []
     if "=" in t or ":" in t:
-        found += [(m.start(1), m.start(1) + len(m[1].rstrip(".!?)")), "secret") for m in VALUE.finditer(t) if DIGIT.search(m[1]) or _keyed(t, m.start())]
+        found += [(*s, "secret") for s in _values(t)]
     if DIGIT.search(t):
         for m in TOKEN.finditer(t):
             a, b = m.span()
@@ -195,14 +220,18 @@ def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, i
         found += [(*m.span(), "person") for m in PERSON.finditer(t)]
     out, free = [], sorted(taken)
     for a, b, kind in sorted(set(found), key=lambda x: (PREFER.index(x[2]), x[0], -x[1])):
+        parts = [(a, b)]
         if b <= a or any(a < y and x < b for x, y in free):
-            continue
-        free.append((a, b))
-        v, shape = votes(kind, t[a:b], t, a, b)
-        code = 0
-        for x in v:
-            code = code * 3 + x + 1
-        out.append((ADDED.index(kind), a, b, code * 144 + shape))
+            if kind != "secret" or b - a <= LONG:
+                continue
+            parts = _free_parts(a, b, free)
+        for a, b in parts:
+            free.append((a, b))
+            v, shape = votes(kind, t[a:b], t, a, b)
+            code = 0
+            for x in v:
+                code = code * 3 + x + 1
+            out.append((ADDED.index(kind), a, b, code * 144 + shape))
     return sorted(out)
 
 

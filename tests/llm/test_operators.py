@@ -87,6 +87,20 @@ def test_pii(spark, nothing):
     assert pii.label(pii.scan(nothing), pii.fit(pii.scan(nothing))).count() == 0
 
 
+def test_pii_values_of_any_length(spark):
+    part = lambda k, n: base64.urlsafe_b64encode(hashlib.shake_256(b"%d" % k).digest(n)).decode().rstrip("=")
+    token = lambda k: f"{part(k, 30)}.{part(k + 100, 120 + 10 * k)}.{part(k + 200, 40)}"
+    rows = [(k, f"the token={token(k)} and more", "en") for k in range(30)]
+    url = f"see https://a.bc/{'d1/' * 90}?token={hashlib.sha1(b'u').hexdigest()[:18]}"
+    rows += [(50, url, "en"), (51, f"token={token(51)}:a.b@c.de", "en")]
+    found = {r.id: {(c.a, c.b) for c in r.found} for r in pii.scan(make(spark, rows)).collect()}
+    assert all(found[k] == {(10, 10 + len(token(k)))} for k in range(30)) and len(token(0)) > 200
+    assert (len(url) - 18, len(url)) in found[50]
+    redacted = {r.doc_id: r.text for r in pii.redact(make(spark, rows)).collect()}
+    assert all(redacted[k] == "the token=<secret> and more" for k in range(30))
+    assert redacted[51] == "token=<secret><email>"
+
+
 def minimax(sizes, k):
     lo, hi = max([0, *sizes]), sum(sizes)
     while lo < hi:
