@@ -107,9 +107,17 @@ WORD_BEFORE = re.compile(r"([^\W_][\w-]*)\W{0,4}\Z")
 ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}\Z|gh[pousr]_[A-Za-z0-9]{36,}\Z|xox[abprs]-[A-Za-z0-9-]{10,}\Z|sk-[A-Za-z0-9_-]{20,}\Z|AIza[A-Za-z0-9_-]{35}\Z|eyJ[A-Za-z0-9_-]{10,}")
 HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 
+#: Ends of compound names of secrets, as in db_password.
+KEY_ENDS = ("_key", "_token", "_secret", "password")
+
 LABELERS = ("shape", "entropy", "checksum", "keyword", "other_keyword", "title", "assignment", "quoted", "prose", "issued")
 
 
+def _named(word: str, keys: frozenset[str]) -> bool:
+    """Whether a word before a value, in lower case, names its kind; compound names of secrets count for every kind."""
+    return word in keys or word.endswith(KEY_ENDS)
+
+
 def _iban_ok(v: str) -> bool:
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
@@ -148,7 +156,7 @@ def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
         shape,
         0 if kind in ("card", "phone", "person") else 1 if h >= 3 and mixed else -1 if h < 2.5 else 0,
         check,
-        1 if word in keys or any(word.endswith(k) for k in ("_key", "_token", "_secret", "password")) else 0,
+        1 if _named(word, keys) else 0,
         -1 if word in HASH_KEYS else 0,
         (1 if v.split(".")[0].split(" ")[0].lower() in TITLES or v.split(" ")[-1].lower() in GIVEN else -1) if kind == "person" else 0,
         1 if tail[-1:] in (":", "=") else 0,
@@ -163,7 +171,7 @@ def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
 def _keyed(t: str, at: int) -> bool:
     """Whether the word before a place names a secret; a value without digits needs that to be a candidate."""
     m = WORD_BEFORE.search(t[max(0, at - 40) : at])
-    return m is not None and m[1].lower() in SECRET_KEYS
+    return m is not None and _named(m[1].lower(), SECRET_KEYS)
 
 
 #: Of candidates that overlap, the first kind here stays.

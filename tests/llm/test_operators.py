@@ -101,6 +101,18 @@ def test_pii_values_of_any_length(spark):
     assert redacted[51] == "token=<secret><email>"
 
 
+def test_pii_compound_names_of_secrets(spark):
+    letters = lambda k: "".join(chr(97 + b % 26) for b in hashlib.sha256(b"%d" % k).digest())
+    names = ("password=", "db_password=", "MYSQL_ROOT_PASSWORD=", "root_password: ", "client_token=", "deploy_key: ", "APP_SECRET=")
+    rows = [(10 * k + n, f"set {name}{letters(k)[:7]}-{letters(k)[7:14]}-{letters(k)[14:22]} here", "en") for k in range(8) for n, name in enumerate(names)]
+    rows += [(200 + k, f"the {letters(k)[:6]}: {letters(k)[6:18]} here", "en") for k in range(8)]
+    redacted = {r.doc_id: r.text for r in pii.redact(make(spark, rows)).collect()}
+    assert all(redacted[10 * k + n] == f"set {name}<secret> here" for k in range(8) for n, name in enumerate(names))
+    assert all(redacted[i] == t for i, t, _ in rows if i >= 200)
+    for text in ("db_password=correct-horse-battery", "MYSQL_ROOT_PASSWORD=changemenow", "root_password: swordfishes"):
+        assert [text[a:b] for _, a, b, _ in pii.candidates(text, [])] == [text.split("=")[-1].split(": ")[-1]]
+
+
 def minimax(sizes, k):
     lo, hi = max([0, *sizes]), sum(sizes)
     while lo < hi:
