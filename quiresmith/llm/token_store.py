@@ -81,12 +81,16 @@ def unpack(data: bytes) -> bytes:
     return np.frombuffer(zlib.decompress(data), np.uint8).reshape(PLANES, -1).T.tobytes()
 
 
-def lowered(t: str) -> str:
+def lowered(t: str, added: tuple[str, ...] = ()) -> str:
     """t in lower case where that is what the tokenizer makes of it anyway, so that fewer words are told apart.
 
-    Not where letters lower by context or to more than one character, or where composing would come between.
+    Not where letters lower by context or to more than one character, where composing would come between, or
+    where the lower-case form holds one of `added`, which the tokenizer looks for before it lowers anything.
     """
-    return t.lower() if t.isascii() or "Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t) else t
+    if not (t.isascii() or "Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t)):
+        return t
+    low = t.lower()
+    return t if any(a in low for a in added) else low
 
 
 class WordEncoder:
@@ -104,6 +108,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.added = tuple(a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -150,7 +155,7 @@ class WordEncoder:
             kept[w] = kept[w[:-1]] + kept[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
+        split = [lowered(t, self.added).replace("\n", " ").split(" ") for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         new: set[str] = set()

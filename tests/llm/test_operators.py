@@ -353,6 +353,17 @@ def test_token_store(spark, docs, nothing, tmp_path):
     assert token_store.read_store(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_store_tells_added_tokens_by_case():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    known, encode = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    for content in (a.content for a in known.get_added_tokens_decoder().values()):
+        for mark in (content, content.upper(), content.title(), content.swapcase(), content[:4] + content[4:].upper()):
+            for t in (mark, f"x {mark} y", f"Foo{mark}Bar é", f"{mark}\n{content} É {mark},", f"<|{mark}"):
+                assert np.frombuffer(encode([t, "X Y", t])[2], "<u4").tolist() == known.encode(t, add_special_tokens=False).ids, t
+
+
 def test_ngram_join(spark, nothing):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(400)]
