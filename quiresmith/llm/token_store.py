@@ -7,7 +7,7 @@ Layout of a store, three folders of Parquet files:
 - recipes   (part int, doc_id, start long, n_tokens long, root binary, digests array<binary>): one row a
             document in ascending doc_id order; root is the Merkle root over its chunk digests.
 - manifest  (part int, first_id, last_id, n_docs long, n_tokens long, start long, root binary): one row a file
-            of recipes; root is the Merkle root over the roots of its documents.
+            of recipes; root is the Merkle root over its documents, each with id, start, count and root.
 
 A document's ids are cut where a rolling hash of the last `WINDOW` ids has its low bits zero, so equal
 passages give equal chunks wherever they stand.
@@ -227,29 +227,57 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: st
     recipes = recipes.select("part", "doc_id", (F.col("offset") + F.col("running") - F.col("n_tokens")).cast("long").alias("start"), "n_tokens", "root", "digests")
     recipes.sortWithinPartitions("part", F.col("start")).write.option("compression", "zstd").parquet(f"{to}/recipes")
 
-    def manifest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    manifest(spark.read.parquet(f"{to}/recipes")).write.parquet(f"{to}/manifest")
+    discard(coded)
+    discard(draft)
+
+
+def leaf(doc_id, start: int, n_tokens: int, root: bytes) -> bytes:
+    """What stands for a document in the Merkle tree of its part."""
+    return f"{doc_id!r},{start},{n_tokens},".encode("utf-8", "surrogatepass") + root
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """The manifest that these recipes should have."""
+    kind = recipes.schema["doc_id"].dataType.simpleString()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import groups
 
         for (part,), rows in groups(it, ["part"]):
             ids, n = rows.column("doc_id"), rows.column("n_tokens").to_numpy()
+            leaves = [leaf(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root")), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(part)], pa.int32()), ids.slice(0, 1).combine_chunks(), ids.slice(len(ids) - 1, 1).combine_chunks(), pa.array([len(ids)]), pa.array([int(n.sum())]), pa.array([rows.column("start")[0].as_py()]), pa.array([merkle(rows.column("root").to_pylist())], pa.binary())],
+                [pa.array([int(part)], pa.int32()), ids.slice(0, 1).combine_chunks(), ids.slice(len(ids) - 1, 1).combine_chunks(), pa.array([len(ids)]), pa.array([int(n.sum())]), pa.array([rows.column("start")[0].as_py()]), pa.array([merkle(leaves)], pa.binary())],
                 ["part", "first_id", "last_id", "n_docs", "n_tokens", "start", "root"],
             )
 
-    written = spark.read.parquet(f"{to}/recipes").select("part", "doc_id", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
-    written.mapInArrow(manifest, f"part int, first_id {kind}, last_id {kind}, n_docs long, n_tokens long, start long, root binary").write.parquet(f"{to}/manifest")
-    discard(coded)
-    discard(draft)
+    narrow = recipes.select("part", "doc_id", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
+    return narrow.mapInArrow(run, f"part int, first_id {kind}, last_id {kind}, n_docs long, n_tokens long, start long, root binary")
+
+
+def check_manifest(recipes: DataFrame, stored: DataFrame) -> None:
+    """Raise unless the stored manifest is that of the recipes, and its parts follow each other without a gap."""
+    names = [c for c in stored.columns if c != "part"]
+    own, kept = (df.select("part", F.struct(*names).alias(c)) for df, c in ((manifest(recipes), "own"), (stored, "kept")))
+    # one row a part
+    before = F.sum(F.col("kept.n_tokens")).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    got = own.join(kept, "part", "full").withColumn("before", F.coalesce(before, F.lit(0)))
+    wrong = got.where(~F.col("own").eqNullSafe(F.col("kept")) | ~F.col("kept.start").eqNullSafe(F.col("before")))
+    parts = [r.part for r in wrong.select("part").limit(5).collect()]
+    if parts:
+        raise ValueError(f"recipes don't match the manifest in parts {parts}")
 
 
 def read_store(spark: SparkSession, at: str) -> DataFrame:
     """Documents of a store: (doc_id, start, n_tokens, ids binary), ids as little-endian unsigned 32-bit integers.
 
-    Every chunk's digest, every document's root and count are computed anew from what was read and compared;
-    a difference raises. Recipes meet chunks by a join on the digest, then the chunks of a document meet.
+    The manifest is computed anew from the recipes and compared before anything is returned; every chunk's
+    digest, every document's root and count as they are read; a difference raises. Recipes meet chunks by a
+    join on the digest, then the chunks of a document meet.
     """
     recipes = spark.read.parquet(f"{at}/recipes")
+    check_manifest(recipes, spark.read.parquet(f"{at}/manifest"))
     chunks = spark.read.parquet(f"{at}/chunks")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     tasks = partitions_for(spark, chunks, 16)

@@ -353,6 +353,29 @@ def test_token_store(spark, docs, nothing, tmp_path):
     assert token_store.read_store(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_store_is_held_to_its_manifest(spark, docs, tmp_path):
+    to = str(tmp_path / "store")
+    token_store.write_store(docs, to, P.path("word_bpe_49k.json"))
+    recipes, parts = spark.read.parquet(f"{to}/recipes"), spark.read.parquet(f"{to}/manifest")
+    assert token_store.read_store(spark, to).count() == recipes.count() and parts.count() > 1
+    at = recipes.orderBy("start").collect()[20]
+    one, last = F.col("start") == at.start, parts.agg(F.max("part")).first()[0]
+    bad = {
+        "row": (recipes.where(~one), parts), "part": (recipes.where(F.col("part") != last), parts), "manifest": (recipes, parts.where(F.col("part") != last)),
+        "both": (recipes.where(F.col("part") != at.part), parts.where(F.col("part") != at.part)), "none": (recipes, parts.where("false")),
+        "doc_id": (recipes.withColumn("doc_id", F.when(one, 10**6).otherwise(F.col("doc_id"))), parts),
+        "start": (recipes.withColumn("start", F.when(one, F.col("start") + 1).otherwise(F.col("start"))), parts),
+        "twice": (recipes.unionByName(recipes.where(one)), parts),
+    }
+    for name, (some, held) in bad.items():
+        copy = str(tmp_path / name)
+        some.write.parquet(f"{copy}/recipes")
+        held.write.parquet(f"{copy}/manifest")
+        spark.read.parquet(f"{to}/chunks").write.parquet(f"{copy}/chunks")
+        with pytest.raises(ValueError, match="don't match the manifest"):
+            token_store.read_store(spark, copy)
+
+
 def test_token_store_tells_added_tokens_by_case():
     from tokenizers import Tokenizer
 
