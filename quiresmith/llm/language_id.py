@@ -3,11 +3,14 @@
 A text's words give subwords (the word with boundary marks, and its character n-grams); each is hashed to a
 row of an embedding matrix; a text is the mean of its rows, and a linear softmax over it gives the language.
 Both matrices are trained by stochastic gradient descent in numpy on the driver, on a bounded sample of
-labelled rows (`SAMPLE` rows of at most `SAMPLE_BYTES` in all); temperature and a rejection threshold come from a held-back part of
-that sample. The sum over subwords is linear, so a word's share of the logits is computed once and kept.
-
-Defined cases: null or letterless texts get `und`, score 0, rejected; labels that are null aren't learned from; with no
-labelled row at all every text is `und`; with one label every text with letters gets it; long texts are
+labelled rows (`SAMPLE` rows of at most `SAMPLE_BYTES` in all); temperature and the rejection thresholds come from a held-back part of
+that sample. A softmax is sure of texts unlike any language it knows too, so a text is also rejected where its subwords
+are rarer in the sample (mean logarithm of their shares) than those of all but `REJECT` of the held-back texts, by half their deviation. The sum over subwords is linear, so a word's share of the logits is computed once and kept.
+
+Defined cases: null or letterless texts get `und`, score 0, rejected; labels that are null aren't learned from, nor are
+any but the 1,000 most frequent labels; with no
+labelled row at all every text is `und`; with one label, every text with letters gets it; under
+50 texts with letters to learn from set no thresholds; long texts are
 scored whole; repeated rows alike; an empty table gives no rows; other columns are never inputs.
 """
 
@@ -28,8 +31,8 @@ SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
 BUCKETS, DIM = 1 << 15, 16
 #: Words that a worker keeps with their logits (speed only).
 KEPT_WORDS = 200_000
-#: Share of held-back texts of known languages that the threshold may reject.
-REJECT = 0.0005
+#: Share of held-back texts of known languages that each threshold may reject; some 6 of the 1,200 of a full sample.
+REJECT = 0.005
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -58,12 +61,19 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights of each hashed subword per language, already multiplied out, with temperature and threshold."""
+    """Weights of each hashed subword per language, already multiplied out, with temperature and threshold.
+
+    usual: logarithms of the subwords' shares in the sample; texts whose mean is under `least` are rejected.
+    """
 
-    def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
+    def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, usual: np.ndarray, least: float):
         self.labels, self.weights, self.bias, self.temperature, self.threshold = labels, weights, bias, temperature, threshold
+        self.usual, self.least = usual, least
         self.at: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(labels) + 1))
+        self.sums = np.zeros((1024, len(labels) + 2))
+
+    def parts(self) -> tuple:
+        return self.labels, self.weights, self.bias, self.temperature, self.threshold, self.usual, self.least
 
     def learn(self, texts: list[str | None]) -> None:
         """Work out the words of many texts together (speed only)."""
@@ -90,6 +100,7 @@ class Model:
             rows, owner = subwords([new[k] for k in lettered])
             for c in range(len(self.labels)):
                 self.sums[first + lettered, c] = np.bincount(owner, self.weights[rows, c], len(lettered))
+            self.sums[first + lettered, -2] = np.bincount(owner, self.usual[rows], len(lettered))
             self.sums[first + lettered, -1] = np.bincount(owner, minlength=len(lettered))
             return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
@@ -101,11 +112,11 @@ class Model:
         uses = self.sums_of(words)
         if not uses[-1]:
             return "und", 0.0, True
-        z = (uses[:-1] / uses[-1] + self.bias) / self.temperature
+        z = (uses[:-2] / uses[-1] + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         k = int(p.argmax())
-        return self.labels[k], float(p[k]), bool(p[k] < self.threshold)
+        return self.labels[k], float(p[k]), bool(p[k] < self.threshold or uses[-2] / uses[-1] < self.least)
 
     def sums_of(self, words: list[str]) -> np.ndarray:
         rows = self._rows(words)
@@ -119,7 +130,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, ra
     labels = sorted(set(langs))
     c = len(labels)
     if not c:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0, np.zeros(BUCKETS), -np.inf)
     rng = np.random.default_rng(seed)
     emb, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, c)), np.zeros(c)
     bags, ys = [], []
@@ -153,7 +164,12 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, ra
     weights = emb @ out
     z = np.array([share @ weights[rows] + bias for rows, share in (bags[i] for i in held)]).reshape(-1, c)
     y = np.array([ys[i] for i in held], int)
-    temperature, threshold = 1.0, 0.0
+    share_of = np.zeros((c, BUCKETS))
+    for i in fit:
+        share_of[ys[i], bags[i][0]] += bags[i][1]
+    share_of /= np.maximum(share_of.sum(1, keepdims=True), 1e-9)
+    usual = np.log(share_of.mean(0) + 1e-6)  # languages weigh alike
+    temperature, threshold, least = 1.0, 0.0, -np.inf
     if len(y):
         def loss(t: float) -> float:
             q = z / t
@@ -165,13 +181,17 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, ra
         q = np.exp(q - q.max(1, keepdims=True))
         threshold = float(np.quantile(q.max(1) / q.sum(1), REJECT)) if c > 1 else 0.0
         threshold = min(threshold, max(0.5, 1.5 / c))  # never rejects a clear majority
-    return Model(labels, weights, bias, temperature, threshold)
+        if c > 1:
+            known = np.array([share @ usual[rows] for rows, share in (bags[i] for i in held)])
+            least = float(np.quantile(known, REJECT) - known.std() / 2)  # some room, as the held-back texts are few
+    return Model(labels, weights, bias, temperature, threshold, usual, least)
 
 
 def training_rows(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled rows, spread by a hash of the id; whole texts.
 
-    As many rows a language as fit in equal shares of the row and byte bounds, so rare languages are learned too.
+    As many rows a language as fit in equal shares of the row and byte bounds, so rare languages are learned too;
+    of more than 1,000 labels the most frequent.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size"), F.xxhash64(id_col).alias("h"))
     stats = {r.lang: (r.n, r.size) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy(F.desc("n")).limit(1000).collect()}
@@ -196,7 +216,7 @@ def training_rows(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 def identify(docs: DataFrame, model: Model, id_col: str | None = None, text_col: str = "text", extra: tuple = ()) -> DataFrame:
     """Rows (id, extra..., lang_pred, score, rejected) of whole texts; only the text is an input."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.temperature, model.threshold))
+    shared = spark.sparkContext.broadcast(model.parts())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Model(*shared.value)
@@ -216,7 +236,7 @@ def identify(docs: DataFrame, model: Model, id_col: str | None = None, text_col:
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """docs without the rows that the model rejects; a null lang_col gets the prediction, all else stays as it is."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.labels, model.weights, model.bias, model.temperature, model.threshold))
+    shared = spark.sparkContext.broadcast(model.parts())
     names = docs.columns
     at = names.index(text_col)
     lang = names.index(lang_col) if lang_col in names else None

@@ -278,6 +278,18 @@ def test_language(spark, nothing):
     assert language_id.keep_known(nothing, model).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and r.lang and language_id.LETTER.search(r.text)]
+    rng = random.Random(11)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(5, 80))) for _ in range(200)]
+    some = [r for r in rows if r.lang != "de"]
+    fit, rest = some[::2], [r.text for r in some[1::2]]
+    model = language_id.train([r.text for r in fit], [r.lang for r in fit])
+    gone = lambda texts: sum(model.predict(t)[2] for t in texts) / len(texts)
+    assert gone(rest) <= 0.03
+    assert gone(noise) >= 0.98 and gone([r.text for r in rows if r.lang == "de"]) >= 0.9
+
+
 def test_decontamination(spark, nothing):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 8)))
