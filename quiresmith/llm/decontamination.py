@@ -9,6 +9,8 @@ holds an item of n words if some stretch of it is within floor(`SHARE` * n) word
    word) says whether to advance. Few edits give a small Hamming distance. Each repeat samples `PLACES` of
    the places and keeps the windows that agree with the item there; the number of repeats is the one at
    which simulated pairs at the most edits allowed reach the target recall.
+   Where `MOST_REPEATS` don't reach it, as for items of very many words, there are none and step 3 sees
+   every window of step 1.
 3. Windows that agreed in any repeat are verified by the exact edit distance of the item to the best
    stretch within the allowed edits of the window.
 
@@ -95,8 +97,11 @@ def sample(windows: np.ndarray, repeat: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def repeats_for(n: int, share: float = SHARE, recall: float = RECALL) -> int:
-    """Repeats at which simulated windows at the most edits allowed agree with their item at the target recall."""
+def repeats_for(n: int, share: float = SHARE, recall: float = RECALL) -> int | None:
+    """Repeats at which simulated windows at the most edits allowed agree with their item at the target recall.
+
+    None where `MOST_REPEATS` don't reach it; every window that a piece points to is then verified.
+    """
     k = allowed(n, share)
     if not k:
         return 1
@@ -117,7 +122,7 @@ def repeats_for(n: int, share: float = SHARE, recall: float = RECALL) -> int:
         found |= (sample(y, repeat) == sample(x, repeat)).all(1)
         if found.mean() >= recall:
             return repeat + 1
-    return MOST_REPEATS
+    return None
 
 
 def edit_distances(items: np.ndarray, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +202,8 @@ class Index:
         if not len(item):
             return []
         # the document of the piece: a piece across two documents gives windows that verification drops
-        k = np.array(self.edits)[item]
+        # a verified stretch reaches as far as the edits to both sides, so one start a piece is enough without repeats
+        k = np.array([0 if self.repeats[len(w)] is None else e for w, e in zip(self.words, self.edits, strict=True)])[item]
         spread = np.repeat(start, 2 * k + 1) + np.arange((2 * k + 1).sum()) - np.repeat(np.cumsum(2 * k + 1) - (2 * k + 1), 2 * k + 1) - np.repeat(k, 2 * k + 1)
         item = np.repeat(item, 2 * k + 1)
         pairs = np.unique(np.stack([item, spread], 1), axis=0)
@@ -209,8 +215,9 @@ class Index:
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         for size in np.unique(n).tolist():
             rows = np.flatnonzero(n == size)
-            for a in range(0, len(rows), 4096):
-                some = rows[a : a + 4096]
+            most = max(16, min(4096, (1 << 22) // size))
+            for a in range(0, len(rows), most):
+                some = rows[a : a + most]
                 self._verify(h, size, item[some], start[some], lo[some], hi[some], doc[some], out)
         return [(d, i, e, s, t) for (d, i), (e, s, t) in sorted(out.items())]
 
@@ -222,9 +229,9 @@ class Index:
     def _verify(self, h, n, item, start, lo, hi, doc, out) -> None:
         windows = self._windows(h, start, n, lo, hi)
         words = np.stack([self.words[i] for i in item])
-        kept = (windows == words).all(1)  # equal windows agree at every place
+        kept = (windows == words).all(1) | (self.repeats[n] is None)  # equal windows agree at every place
         left = np.flatnonzero(~kept)
-        for repeat in range(self.repeats[n]):
+        for repeat in range(self.repeats[n] or 0):
             if not len(left):
                 break
             ok = (sample(windows[left], repeat) == self.seen(n, repeat)[self.place[item[left]]]).all(1)

@@ -318,6 +318,23 @@ def test_decontamination(spark, nothing):
     assert decontamination.clean(make(spark, rows), benchmark.where("false")).count() == len(rows)
 
 
+def test_decontamination_where_repeats_do_not_reach_the_recall(monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(decontamination, "MOST_REPEATS", 1)
+    decontamination.repeats_for.cache_clear()
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    items = [(k, " ".join(word() for _ in range(rng.randint(40, 120)))) for k in range(30)]
+    index, words, docs = decontamination.Index(items), decontamination.Words(), []
+    for _, text in items:
+        some = text.split()
+        for _ in range(decontamination.allowed(len(some))):
+            p = rng.randrange(len(some))
+            some[p : p + 1] = rng.choice([[word()], [], [some[p], word()]])
+        docs.append(words(" ".join([*(word() for _ in range(rng.randint(0, 90))), *some, *(word() for _ in range(rng.randint(0, 90)))])))
+    assert {(d, i) for d, i, *_ in index.find(docs)} == {(k, k) for k in range(30)}
+    decontamination.repeats_for.cache_clear()
+
+
 def test_edit_distances_against_a_plain_table():
     rng = np.random.default_rng(8)
     for _ in range(50):
