@@ -41,3 +41,13 @@ def column_ranges(bounded: DataFrame) -> DataFrame:
     wide = F.filter(ranges, lambda r: r["x_end"] - r["x_start"] >= least)
     kept = F.when(F.col("left").isNull(), F.array(pair(F.lit(0), F.col("w")))).when(F.col("cuts").isNull() | (F.size(wide) == 0), content).otherwise(wide)
     return out.withColumn("m", marks).select("page_id", F.posexplode(kept).alias("ord", "r")).select("page_id", F.col("ord").cast("long").alias("ord"), "r.x_start", "r.x_end")
+
+
+def pad_columns(ranges: DataFrame, widths: DataFrame) -> DataFrame:
+    """ranges (page_id, ord, x_start, x_end) widened by max(40, int(0.02 w)) to both sides, within the page.
+
+    widths: (page_id, w). Glyphs that touch a gutter stay whole.
+    """
+    pad = F.greatest(F.lit(40), F.floor(F.col("w") * 0.02))
+    start, end = F.greatest(F.lit(0), F.col("x_start") - pad), F.least(F.col("w"), F.col("x_end") + pad)
+    return ranges.join(widths, "page_id").select("page_id", "ord", start.cast("long").alias("x_start"), end.cast("long").alias("x_end"))

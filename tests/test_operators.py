@@ -58,6 +58,18 @@ def test_dropped_column_ranges_are_lost(spark):
     assert [tuple(r)[2:] for r in profile.column_ranges(profile.boundaries(profile.smooth(blank, 5))).collect()] == [(0, 600)]
 
 
+def test_columns_are_padded_and_race_in_both_forms(spark):
+    ranges = spark.createDataFrame([(1, 0, 30, 500), (1, 1, 520, 990), (2, 0, 100, 2000), (2, 1, 2100, 3960)], "page_id long, ord long, x_start long, x_end long")
+    widths = spark.createDataFrame([(1, 1000), (2, 4000)], "page_id long, w long")
+    assert sorted(map(tuple, profile.pad_columns(ranges, widths).collect())) == [(1, 0, 0, 540), (1, 1, 480, 1000), (2, 0, 20, 2080), (2, 1, 2020, 4000)]
+    rows = [
+        (1, 0, 4, False, 70.0, "four"), (1, 0, 6, False, 70.0, "sixx"), (1, 0, 6, True, 70.0, "hard, longer"), (1, 0, 3, True, 99.0, "not tried"),
+        (1, 1, 1, False, 60.0, "one"), (1, 1, 4, True, 61.0, "hard"), (1, 1, 6, True, None, "none"), (2, 0, 1, True, 50.0, "alone"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, col long, psm int, hard boolean, conf double, text string")
+    assert sorted(map(tuple, selection.column_race(df).collect())) == [(1, 0, 70.0, "sixx"), (1, 1, 61.0, "hard"), (2, 0, 50.0, "alone")]
+
+
 def test_race_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([(1, 1, 50.0, "ab"), (1, 3, 50.0, "cd"), (1, 4, 49.0, "longer")], "page_id long, psm long, conf double, text string")
     assert selection.race(df, ["page_id"], "psm").first().psm == 1
