@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quiresmith-"))
@@ -65,13 +67,65 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    store, there = _hadoop(spark, path)
+    store.delete(there, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a folder; false if there is none."""
+    store, there = _hadoop(spark, path)
+    if not store.exists(there):
+        return False
+    if not store.rename(there, _hadoop(spark, to)[1]):
+        raise OSError(f"{path} can't be renamed to {to}")
+    return True
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_quire_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove(df.sparkSession, path)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files of steps that are over go once the driver's JVM has collected what stood for them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """f for mapInArrow, with its memory given back to the machine when the task ends, as workers outlive tasks."""
+
+    def run(it: Batches) -> Batches:
+        try:
+            yield from f(it)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
 
 
 def partitions_for(spark: SparkSession, df: DataFrame, mb: int = 16) -> int:
@@ -109,6 +163,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers that a worker keeps for each base; longer texts have theirs worked out anew.
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -119,11 +175,12 @@ def rolling(hashes: np.ndarray, width: int, base: int = 0x5851F42D4C957F2D) -> n
         return np.empty(0, np.uint64)
     up, down = _POWERS.get(base, (np.empty(0, np.uint64),) * 2)
     if len(up) < n + 1:
-        m = max(4096, 2 * n)
+        m = max(4096, n + 1 if n > KEPT_POWERS else min(2 * n, KEPT_POWERS))
         inverse = pow(base, -1, 1 << 64)
         up = np.cumprod(np.insert(np.full(m, base, np.uint64), 0, np.uint64(1)), dtype=np.uint64)
         down = np.cumprod(np.insert(np.full(m, inverse, np.uint64), 0, np.uint64(1)), dtype=np.uint64)
-        _POWERS[base] = up, down
+        if m <= KEPT_POWERS:
+            _POWERS[base] = up, down
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * up[:n], out=total[1:])
     return mix((total[width:] - total[:-width]) * down[: n - width + 1])
@@ -171,29 +228,45 @@ def groups(it: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tupl
         yield key, pa.Table.from_batches(held)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: A key is hot from so many rows on, or from this share of all rows.
+HOT_ROWS, HOT_SHARE = 256, 1 / 4096
+
+
+def join_totals(rows: DataFrame, key: str, totals: DataFrame, n_rows: int, count: str = "_n") -> DataFrame:
+    """rows with the columns of totals, one row a key, whose column `count` says how many rows the key has.
+
+    Rows of hot keys, however many, are joined where they are: hot keys have over `HOT_SHARE` of n_rows each, so there
+    are under 1 / HOT_SHARE of them, and those totals are broadcast. The others meet in a shuffle.
+    """
+    least = max(HOT_ROWS, int(n_rows * HOT_SHARE))
+    hot = totals.where(F.col(count) > least).drop(count)
+    cold = totals.where(F.col(count) <= least).drop(count)
+    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(left.join(cold, key))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     edges: pairs of node ids of one type; null ends and loops are ignored. Returns (node, root), root being
     the least node of the component, for every node of an edge that isn't a loop. Every round is a written
-    table, so no lineage grows; no links reach the driver, only a count and a checksum a round.
+    table, so no lineage grows; no links reach the driver, only a count and a checksum a round. Hubs don't meet
+    in one task (see join_totals).
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     now = materialise(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    signed = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = signed(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+        large = join_totals(both, "u", least, 2 * seen[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = join_totals(large, "u", smallest, 2 * seen[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         then = materialise(small, "edges")
         discard(now)
-        now = then
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now, sign = then, signed(then)
         if sign == seen:
             break
         seen = sign
-    else:
-        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

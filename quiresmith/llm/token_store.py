@@ -2,15 +2,17 @@
 
 Layout of a store, three folders of Parquet files:
 
-- chunks    (digest binary, n int, data binary): every distinct chunk once; digest is the BLAKE2b-128 of the
-            ids as little-endian unsigned 32-bit integers; data holds them deflated, in byte planes.
+- chunks    (digest binary, n long, data binary): every distinct chunk once; digest is the BLAKE2b-128 of the
+            ids as little-endian unsigned 32-bit integers; data holds the bytes of an id (2 where all ids of the chunk
+            are under 65,536, else 4), then the ids in planes of their bytes, compressed by zstd.
 - recipes   (part int, doc_id, start long, n_tokens long, root binary, digests array<binary>): one row a
             document in ascending doc_id order; root is the Merkle root over its chunk digests.
 - manifest  (part int, first_id, last_id, n_docs long, n_tokens long, start long, root binary): one row a file
             of recipes; root is the Merkle root over its documents, each with id, start, count and root.
 
 A document's ids are cut where a rolling hash of the last `WINDOW` ids has its low bits zero, so equal
-passages give equal chunks wherever they stand.
+passages give equal chunks wherever they stand. Chunks and documents leave the encoder together and are dealt in
+one shuffle, chunks by digest, so texts are encoded once and ids are written once.
 
 Defined cases: a null or empty text has the end id only; repeated rows are documents of their own; a null id
 sorts first; an empty table gives a store without rows; other columns of the input don't matter.
@@ -19,24 +21,30 @@ sorts first; an empty table gives a store without rows; other columns of the inp
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
-import zlib
+import uuid
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, discard, materialise, mix, partitions_for, rolling, shared_dir, table
+from .common import HOT_SHARE, batches, collect_garbage, discard, groups, materialise, mix, move, partitions_for, remove, rolling, shared_dir, table, tidy
 
-WINDOW, MEAN, LEAST, MOST = 16, 512, 128, 4096
+WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Words that a worker keeps with their ids (speed only).
 KEPT_WORDS = 700_000
+#: Uses of a chunk that meet in one task, at least.
+HOT_USES = 4096
 #: Marks that the pre-tokenizer cuts off a word of letters before them.
 STOPS = frozenset(".,;:!?")
-PLANES = 4
+#: What the pre-tokenizer takes for one piece each, of a word in lower-case ASCII.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -73,95 +81,136 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1, write_checksum=False), zstandard.ZstdDecompressor()
+
+
 def pack(raw: bytes) -> bytes:
-    return zlib.compress(np.frombuffer(raw, np.uint8).reshape(-1, PLANES).T.tobytes(), 1)
+    """Ids as little-endian unsigned 32-bit integers, in short."""
+    ids = np.frombuffer(raw, "<u4")
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return bytes([width]) + _COMPRESS.compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unpack(data: bytes) -> bytes:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(PLANES, -1).T.tobytes()
+    width = data[0]
+    return np.frombuffer(np.frombuffer(_DECOMPRESS.decompress(data[1:]), np.uint8).reshape(width, -1).T.tobytes(), f"<u{width}").astype("<u4").tobytes()
 
 
-def lowered(t: str, added: tuple[str, ...] = ()) -> str:
-    """t in lower case where that is what the tokenizer makes of it anyway, so that fewer words are told apart.
+def lowered(t: str, added: tuple[str, ...] = ()) -> str | None:
+    """t in lower case where that is what the tokenizer makes of it anyway, else null.
 
-    Not where letters lower by context or to more than one character, where composing would come between, or
+    It isn't where letters lower by context or to more than one character, where composing would come between, or
     where the lower-case form holds one of `added`, which the tokenizer looks for before it lowers anything.
     """
     if not (t.isascii() or "Σ" not in t and "İ" not in t and unicodedata.is_normalized("NFC", t)):
-        return t
+        return None
     low = t.lower()
-    return t if any(a in low for a in added) else low
+    return None if any(a in low for a in added) else low
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes as: printable ones for themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
 class WordEncoder:
     """Ids of texts by the tokenizers library.
 
-    The tokenizer's normaliser and pre-tokenizer never join across a space or a newline (both are dropped),
-    so a text's ids are those of its space-separated words one after the other; new words are encoded by the
-    library, together, and kept.
+    The tokenizer's normaliser and pre-tokenizer never join across a space or a newline (both are dropped), so a text's
+    ids are those of its space-separated words one after the other, and a word's those of its pieces. New pieces are
+    encoded by the library, together, and kept with their words. Where it is plain what the normaliser and the
+    pre-tokenizer make of a word, the library's model is given its pieces alone; other words go the whole way.
     """
 
     def __init__(self, path: str):
-        """path: a tokenizer whose normaliser is NFC, white space to spaces, lower case."""
+        """path: a tokenizer whose normaliser is NFC, white space to spaces, lower case, and whose pieces are PIECES'."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(bare))
         self.kept: dict[str, bytes] = {}
         self.added = tuple(a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.bytes_as = byte_letters()
+        self.letters: set[str] = set("abcdefghijklmnopqrstuvwxyz")
+        self.others: set[str] = set()
+
+    def _lettered(self, w: str) -> bool:
+        """Whether a word beyond ASCII is one piece of letters that the normaliser leaves as they are."""
+        chars = set(w)
+        if not chars <= self.letters:
+            for c in chars - self.letters - self.others:
+                split = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")
+                (self.letters if c.isalpha() and len(split) == 1 and self.tokenizer.normalizer.normalize_str(c) == c else self.others).add(c)
+            if not chars <= self.letters:
+                return False
+        return unicodedata.is_normalized("NFC", w)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each one piece to the tokenizer: encoded in one text, cut at ends of words.
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by the model, all in one call, cut at ends of words.
 
-        Where the number of ends isn't that of the words, they are encoded one by one instead.
+        Where the number of ends isn't that of the pieces, they are encoded one by one instead.
         """
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_as) for p in pieces]
+        ids = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-        if len(ends) != len(words) or len(ends) and ends[-1] != len(ids):
-            return self._each(words)
+        if len(ends) != len(pieces) or len(ends) and ends[-1] != len(ids):
+            return self._each(pieces)
         raw, at, out = ids.tobytes(), 0, []
         for e in (4 * ends).tolist():
             out.append(raw[at:e])
             at = e
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode words: of letters together, of letters and one stop as both parts, others one by one."""
+    def _learn(self, words: set[str], easy: bool) -> None:
+        """Keep the ids of words, of lowered texts if easy: from their pieces where these are plain, else by the whole tokenizer."""
         kept = self.kept
-        plain, stopped, rest = set(), [], []
-        for w in words:
+        plain, stopped, parts, rest = [], [], [], []
+        for w in words if easy else ():
+            ascii_ = w.isascii()
             if w.isalpha():
-                plain.add(w)
-            elif w[-1:] in STOPS and w[:-1].isalpha():
+                (plain if ascii_ or self._lettered(w) else rest).append(w)
+            elif w[-1:] in STOPS and w[:-1].isalpha() and (ascii_ or self._lettered(w[:-1])):
                 stopped.append(w)
-                if w[:-1] not in kept:
-                    plain.add(w[:-1])
-                if w[-1] not in kept and w[-1] not in words:
-                    rest.append(w[-1])
+            elif ascii_ and w.isprintable():
+                parts.append((w, PIECES.findall(w)))
             else:
                 rest.append(w)
-        rest, plain = list(dict.fromkeys(rest)), list(plain)
-        for at in range(0, len(rest), 4096):
-            kept.update(zip(rest[at : at + 4096], self._each(rest[at : at + 4096]), strict=True))
-        for at in range(0, len(plain), 512):
-            kept.update(zip(plain[at : at + 512], self._together(plain[at : at + 512]), strict=True))
+        new = {*(w[:-1] for w in stopped), *(w[-1] for w in stopped)}.union(plain, *(p for _, p in parts))
+        new.difference_update(kept)
+        order = list(new)
+        for at in range(0, len(order), 1024):
+            kept.update(zip(order[at : at + 1024], self._together(order[at : at + 1024]), strict=True))
         for w in stopped:
             kept[w] = kept[w[:-1]] + kept[w[-1]]
+        for w, pieces in parts:
+            kept[w] = b"".join([kept[p] for p in pieces])
+        rest = rest if easy else list(words)
+        for at in range(0, len(rest), 4096):
+            kept.update(zip(rest[at : at + 4096], self._each(rest[at : at + 4096]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [lowered(t, self.added).replace("\n", " ").split(" ") for t in texts]
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        self._learn(new.difference(self.kept))
+        split, new, hard = [], set(), set()
+        for t in texts:
+            low = lowered(t, self.added)
+            words = (t if low is None else low).replace("\n", " ").split(" ")
+            split.append(words)
+            (hard if low is None else new).update(words)
+        self._learn(new.difference(self.kept), True)
+        self._learn(hard.difference(self.kept), False)
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -183,53 +232,61 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: st
     last = np.array([end_id], "<u4").tobytes()
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path)
-        for batch in batches(it, "text", 4 << 20):
-            counts, digests, sizes, data, here = [], [], [], [], set()
-            for raw in of([t or "" for t in batch.column(1).to_pylist()]):
-                raw += last
-                ids = np.frombuffer(raw, "<u4")
-                at, d, s, p = 0, [], [], []
-                for end in cut_points(ids):
-                    piece = raw[4 * at : 4 * end]
-                    d.append(name := digest(piece))
-                    s.append(end - at)
-                    p.append(None if name in here else pack(piece))  # once a batch is enough
-                    here.add(name)
-                    at = end
-                counts.append(len(ids))
-                digests.append(d)
-                sizes.append(s)
-                data.append(p)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(data, pa.list_(pa.binary()))],
-                ["doc_id", "n_tokens", "digests", "sizes", "data"],
-            )
-
-    coded = materialise(narrow.mapInArrow(encode, f"doc_id {kind}, n_tokens long, digests array<binary>, sizes array<int>, data array<binary>"), "coded")
-    each = coded.select(F.explode(F.arrays_zip("digests", "sizes", "data")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.data").alias("data")).where("data is not null")
-    each.dropDuplicates(["digest"]).write.option("compression", "uncompressed").parquet(f"{to}/chunks")
-
-    def roots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            got = pa.array([merkle(d) for d in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, "root"])
+        of, task, count = encoder(path), TaskContext.get().partitionId(), 0
+        try:
+            for batch in batches(it, "text", 4 << 20):
+                seen: set[bytes] = set()  # once a batch is enough
+                names, sizes, data, counts, lists, roots = [], [], [], [], [], []
+                for raw in of([t or "" for t in batch.column(1).to_pylist()]):
+                    raw += last
+                    ids = np.frombuffer(raw, "<u4")
+                    at, own = 0, []
+                    for end in cut_points(ids):
+                        piece = raw[4 * at : 4 * end]
+                        own.append(name := digest(piece))
+                        if name not in seen:
+                            seen.add(name)
+                            names.append(name)
+                            sizes.append(end - at)
+                            data.append(pack(piece))
+                        at = end
+                    counts.append(len(ids))
+                    lists.append(own)
+                    roots.append(merkle(own))
+                n, m = len(names), len(counts)
+                keys = [b"%d %d" % (task, count + k) for k in range(m)]  # one for each document
+                count += m
+                cols = [
+                    pa.array(["chunks"] * n + ["documents"] * m), pa.array(names + keys, pa.binary()), pa.array(sizes + counts, pa.int64()), pa.array(data + [None] * m, pa.binary()),
+                    pa.concat_arrays([pa.nulls(n, batch.column(0).type), batch.column(0)]), pa.array([None] * n + lists, pa.list_(pa.binary())), pa.array([None] * n + roots, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, ["what", "digest", "n", "data", "doc_id", "digests", "root"])
+        finally:
+            of.kept.clear()
+
+    schema = f"digest binary, n long, data binary, doc_id {kind}, digests array<binary>, root binary"
+    rows = narrow.mapInArrow(tidy(encode), f"what string, {schema}")
+    once = rows.groupBy("what", "digest").agg(*(F.first(c).alias(c) for c in ("n", "data", "doc_id", "digests", "root")))
+    once.write.partitionBy("what").option("compression", "uncompressed").parquet(f"{to}/draft")
+    if not move(spark, f"{to}/draft/what=chunks", f"{to}/chunks"):  # no documents
+        spark.createDataFrame([], schema).write.parquet(f"{to}/chunks")
+    coded = spark.read.schema(f"{schema}, what string").parquet(f"{to}/draft").select("doc_id", F.col("n").alias("n_tokens"), "digests", "root")
+    collect_garbage(spark)
 
     tasks = partitions_for(spark, coded, 64)
-    ordered = coded.select("doc_id", "n_tokens", "digests").mapInArrow(roots, f"doc_id {kind}, n_tokens long, digests array<binary>, root binary")
-    ordered = ordered.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
-    draft = materialise(ordered, "recipes")
+    ordered = coded.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root").withColumn("part", F.spark_partition_id())
+    numbered = materialise(ordered, "recipes")
     # at most `tasks` rows, one a part
-    parts = draft.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    parts = numbered.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     offsets = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("offset"))
     by = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    recipes = draft.withColumn("running", F.sum("n_tokens").over(by)).join(F.broadcast(offsets), "part")
+    recipes = numbered.withColumn("running", F.sum("n_tokens").over(by)).join(F.broadcast(offsets), "part")
     recipes = recipes.select("part", "doc_id", (F.col("offset") + F.col("running") - F.col("n_tokens")).cast("long").alias("start"), "n_tokens", "root", "digests")
     recipes.sortWithinPartitions("part", F.col("start")).write.option("compression", "zstd").parquet(f"{to}/recipes")
 
     manifest(spark.read.parquet(f"{to}/recipes")).write.parquet(f"{to}/manifest")
-    discard(coded)
-    discard(draft)
+    remove(spark, f"{to}/draft")
+    discard(numbered)
 
 
 def leaf(doc_id, start: int, n_tokens: int, root: bytes) -> bytes:
@@ -242,8 +299,6 @@ def manifest(recipes: DataFrame) -> DataFrame:
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import groups
-
         for (part,), rows in groups(it, ["part"]):
             ids, n = rows.column("doc_id"), rows.column("n_tokens").to_numpy()
             leaves = [leaf(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root")), strict=True)]
@@ -253,7 +308,7 @@ def manifest(recipes: DataFrame) -> DataFrame:
             )
 
     narrow = recipes.select("part", "doc_id", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
-    return narrow.mapInArrow(run, f"part int, first_id {kind}, last_id {kind}, n_docs long, n_tokens long, start long, root binary")
+    return narrow.mapInArrow(tidy(run), f"part int, first_id {kind}, last_id {kind}, n_docs long, n_tokens long, start long, root binary")
 
 
 def check_manifest(recipes: DataFrame, stored: DataFrame) -> None:
@@ -278,15 +333,31 @@ def read_store(spark: SparkSession, at: str) -> DataFrame:
     """
     recipes = spark.read.parquet(f"{at}/recipes")
     check_manifest(recipes, spark.read.parquet(f"{at}/manifest"))
-    chunks = spark.read.parquet(f"{at}/chunks")
+    chunks = spark.read.parquet(f"{at}/chunks").select("digest", "data")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     tasks = partitions_for(spark, chunks, 16)
     wanted = recipes.select("start", F.posexplode("digests").alias("pos", "digest"))
-    found = wanted.join(chunks.select("digest", "data"), "digest", "left")
+    found = join_chunks(wanted, chunks)
     heads = recipes.select("start", "doc_id", "n_tokens", "root")
     rows = heads.select("start", F.lit(-1).alias("pos"), F.col("root").alias("digest"), F.lit(None).cast("binary").alias("data"), "doc_id", "n_tokens")
     rows = rows.unionByName(found.select("start", "pos", "digest", "data", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens")))
-    return rows.repartition(tasks, "start").sortWithinPartitions("start", "pos").mapInArrow(_rebuild, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return rows.repartition(tasks, "start").sortWithinPartitions("start", "pos").mapInArrow(tidy(_rebuild), f"doc_id {kind}, start long, n_tokens long, ids binary")
+
+
+def join_chunks(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """wanted (start, pos, digest) with the data of each digest, null where it is missing.
+
+    A chunk that very many documents hold goes to several tasks, each with some of them. Those chunks are under
+    1 / HOT_SHARE, as each has more than that share of all uses, so their list is broadcast.
+    """
+    uses = wanted.groupBy("digest").agg(F.count("*").alias("uses"))
+    total = wanted.agg(F.count("*")).first()[0]
+    most = max(HOT_USES, int(total * HOT_SHARE))
+    hot = uses.where(F.col("uses") > most).select("digest", F.ceil(F.col("uses") / most).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = wanted.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("start", "pos"), parts).cast("int")).drop("parts")
+    right = chunks.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["digest", "salt"], "left").drop("salt")
 
 
 def _rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +393,6 @@ def _rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_token_store(spark, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
