@@ -6,6 +6,9 @@ its neighbouring pairs in a hashed table, merges its leftmost pair of least rank
 place; rows without a ranked pair leave. That is the order in which merges are made by rank, so the ids equal
 those of the tiktoken library.
 
+A piece of over `LONG` bytes would take a round of its own length for each merge; its least pairs stand in a heap
+instead, in the same order of merges.
+
 Defined cases: a null text counts as an empty one and has no ids; pieces of any length are encoded whole (a
 bucket's rows shrink as its columns grow, so memory is bounded); repeated rows are encoded alike; an empty
 table gives no rows; extra columns are kept out of the result.
@@ -15,8 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +27,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import batches, table, tidy
 
 #: Pieces that a worker keeps with their ids; beyond it the store starts anew (speed only).
 KEPT_PIECES = 200_000
 #: Cells of a bucket's matrix.
 CELLS = 1 << 21
+#: Bytes of a piece from which on a heap takes the matrix's part.
+LONG = 2048
 NONE = np.int32(2**31 - 1)
 
 
@@ -93,7 +98,7 @@ class ByteBPE:
         self.merges = Merges(np.array(pairs, np.int64), np.array(ranks, np.int32))
         low = self.first.astype(np.int64)
         self.byte_pairs = self.merges((low[:, None] * self.size + low[None, :]).ravel())
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
         self.spelled: dict[str, str] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -104,7 +109,9 @@ class ByteBPE:
         at = 0
         while at < len(order):
             n = int(sizes[order[at]])
-            if not n:
+            if n > LONG:
+                out[order[at]] = self._long(pieces[order[at]])
+            if not n or n > LONG:
                 at += 1
                 continue
             width = 1 << (n - 1).bit_length()  # one bucket: lengths over width/2, up to width
@@ -157,24 +164,57 @@ class ByteBPE:
             ranks[row[past], best[past]] = NONE
         return done
 
+    def _long(self, piece: bytes) -> list[int]:
+        """Ids of a long piece: the leftmost pair of least rank comes from a heap of rank and place."""
+        n, token, rank = len(piece), self.bytes_of, self.ranks.get
+        ids = [*self.first[np.frombuffer(piece, np.uint8)].tolist(), -1]
+        after, before = [*range(1, n + 1), n], list(range(-1, n))
+        raw = np.frombuffer(piece, np.uint8).astype(np.int64)
+        pair = np.append(self.byte_pairs[(raw[:-1] << 8) | raw[1:]], [NONE, NONE])
+        now = pair.tolist()  # rank of the pair that begins at a place
+        heap = [(r, i) for i, r in enumerate(now) if r < NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if now[i] != r:
+                continue
+            j = after[i]
+            ids[i], ids[j], now[j] = r, -1, NONE
+            after[i] = k = after[j]
+            before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0:
+                    got = rank(token[ids[a]] + token[ids[b]]) if b < n else None
+                    now[a] = NONE if got is None else got
+                    if got is not None:
+                        heapq.heappush(heap, (got, a))
+        return [i for i in ids if i >= 0]
+
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, all of them in `kept` afterwards."""
         pieces = [self.find(t) for t in texts]
         if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-            self.spelled.clear()
+            self.forget()
         new: set[str] = set()
         for p in pieces:
             new.update(p)
         fresh = list(new.difference(self.kept))
         for piece, ids in zip(fresh, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True):
-            self.kept[piece] = tuple(ids)
+            self.kept[piece] = np.array(ids, np.int32).tobytes()
             self.spelled[piece] = " ".join(map(str, ids))
         return pieces
 
+    def forget(self) -> None:
+        """Drop the pieces kept."""
+        self.kept.clear()
+        self.spelled.clear()
+
+    def ids_of(self, pieces: list[str]) -> np.ndarray:
+        """Ids of pieces that are kept, one after the other."""
+        return np.frombuffer(b"".join(map(self.kept.__getitem__, pieces)), np.int32)
+
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.learn([text or ""])[0]
-        return [i for p in pieces for i in self.kept[p]]
+        return self.ids_of(self.learn([text or ""])[0]).tolist()
 
     def decode(self, ids) -> bytes:
         """Bytes of ids; an id without a token raises."""
@@ -211,30 +251,32 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        sha = hashlib.sha256
-        for batch in batches(it, "text", 4 << 20):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            pieces = bpe.learn(texts)
-            kept, spelled = bpe.kept.__getitem__, bpe.spelled.__getitem__
-            counts, coded, decoded, all_ids = [], [], [], []
-            token = bpe.bytes_of.__getitem__
-            for found in pieces:
-                ids = list(chain.from_iterable(map(kept, found)))
-                counts.append(len(ids))
-                coded.append(sha(" ".join(map(spelled, found)).encode()).hexdigest())
-                decoded.append(sha(b"".join(map(token, ids))).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
-            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-            names_ = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names_.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names_)
+        try:
+            for batch in batches(it, "text", 4 << 20):
+                yield coded(bpe, batch)
+        finally:
+            bpe.forget()
+
+    def coded(bpe: ByteBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
+        sha, spelled, token = hashlib.sha256, bpe.spelled.__getitem__, bpe.bytes_of.__getitem__
+        each, spellings, decoded = [], [], []
+        for found in bpe.learn([t or "" for t in batch.column(1).to_pylist()]):
+            ids = bpe.ids_of(found)
+            each.append(ids)
+            spellings.append(sha(" ".join(map(spelled, found)).encode()).hexdigest())
+            decoded.append(sha(b"".join(map(token, ids.tolist()))).hexdigest())
+        counts = np.array([len(x) for x in each], np.int64)
+        cols = [batch.column(0), pa.array(counts), pa.array(spellings, pa.string()), pa.array(decoded, pa.string())]
+        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each))))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names)
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def decode_documents(coded: DataFrame, path: str, pattern: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
@@ -247,7 +289,7 @@ def decode_documents(coded: DataFrame, path: str, pattern: str, id_col: str = "i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "raw"])
 
     narrow = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, raw binary")
+    return narrow.mapInArrow(tidy(run), f"id {narrow.schema['id'].dataType.simpleString()}, raw binary")
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:

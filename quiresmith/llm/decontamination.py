@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, rolling, table
+from .common import batches, mix, rolling, table, tidy
 
 SHARE, RECALL, PLACES, MOST_REPEATS, BLOCK_BYTES = 0.2, 0.99, 2, 512, 4 << 20
 #: Bytes of text scanned together.
@@ -285,7 +285,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "item_id", "n_words", "edits", "start", "end"])
 
-        one = narrow.mapInArrow(run, f"id {kinds[0]}, item_id {kinds[1]}, n_words long, edits long, start long, end long")
+        one = narrow.mapInArrow(tidy(run), f"id {kinds[0]}, item_id {kinds[1]}, n_words long, edits long, start long, end long")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -304,7 +304,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                 rest = [k for k in range(batch.num_rows) if k not in held]
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(rest, pa.int64())) for c in batch.columns], names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

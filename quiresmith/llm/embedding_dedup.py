@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, groups, materialise, partitions_for, table
+from .common import components, discard, groups, materialise, partitions_for, table, tidy
 
 COSINE, BLOCK, TILE, SLACK = 0.98, 8, 1024, 2e-6
 
@@ -70,7 +70,7 @@ def classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Da
                 same.append(blake2b(raw[-1] + label.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.string()), pa.array(raw, pa.binary())], ["id", "label", "same", "vec"])
 
-    return narrow.mapInArrow(run, f"id {kind}, label string, same string, vec binary")
+    return narrow.mapInArrow(tidy(run), f"id {kind}, label string, same string, vec binary")
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -222,18 +222,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     kind = rows.schema["id"].dataType.simpleString()
     nodes = materialise(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec")), "classes")
     tasks = partitions_for(spark, nodes, 1)
-    light = nodes.select("node", "label", "vec").mapInArrow(lambda it: _cells(it, cosine, width, False), f"cell long, home boolean, node {kind}")
+    light = nodes.select("node", "label", "vec").mapInArrow(tidy(lambda it: _cells(it, cosine, width, False)), f"cell long, home boolean, node {kind}")
     hot = materialise(light.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tile).select(F.col("cell").alias("hot"), F.ceil(F.col("n") / tile).cast("int").alias("parts")), "hot-cells")
-    full = nodes.select("node", "label", "vec", "size").mapInArrow(lambda it: _cells(it, cosine, width, True), f"cell long, home boolean, node {kind}, size long, unit binary")
+    full = nodes.select("node", "label", "vec", "size").mapInArrow(tidy(lambda it: _cells(it, cosine, width, True)), f"cell long, home boolean, node {kind}, size long, unit binary")
     parts = F.coalesce("parts", F.lit(1))
     dealt = full.join(hot, F.col("cell") == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("node", "home"), parts).cast("int"))
     dealt = dealt.select("cell", "home", "node", "size", "unit", "salt", F.explode(F.sequence(F.lit(0), parts - 1)).alias("k"))
     dealt = dealt.select("cell", F.least("salt", "k").alias("p"), F.greatest("salt", "k").alias("q"), "home", "node", "size", "unit", "salt")
     dealt = dealt.repartition(tasks, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-    found = materialise(dealt.mapInArrow(lambda it: _join_cells(it, cosine, width), f"a {kind}, b {kind}, links long"), "links")
+    found = materialise(dealt.mapInArrow(tidy(lambda it: _join_cells(it, cosine, width)), f"a {kind}, b {kind}, links long"), "links")
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("vec").alias(f"vec_{s}"), F.col("size").alias(f"size_{s}"))
     close = found.where("links < 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "vec_a", "vec_b", "size_a", "size_b")
-    close = close.mapInArrow(lambda it: _verify(it, cosine), f"a {kind}, b {kind}, links long")
+    close = close.mapInArrow(tidy(lambda it: _verify(it, cosine)), f"a {kind}, b {kind}, links long")
     links = materialise(found.where("links > 0").unionByName(close), "links")
     discard(found)
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, table
+from .common import batches, mix, table, tidy
 
 #: Labelled rows and bytes of text that a model is fitted on, at most.
 SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: Model, id_col: str | None = None, text_col:
 
     narrow = docs.select(F.col(id_col or "doc_id").alias("id"), *extra, F.col(text_col).alias("text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "text")
-    return narrow.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return narrow.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -253,7 +253,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
             rest = pa.array([k for k, g in enumerate(got) if not g[2]], pa.int64())
             yield pa.RecordBatch.from_arrays([c.take(rest) for c in cols], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out():

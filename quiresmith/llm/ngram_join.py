@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, components, groups, materialise, mix, partitions_for, rolling, table
+from .common import WordHashes, batches, components, groups, materialise, mix, partitions_for, rolling, table, tidy
 from .embedding_dedup import local_roots
 
 WIDTH, THRESHOLD, RECALL, HASHES, TILE = 5, 0.8, 0.999, 64, 1024
@@ -161,7 +161,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     bands, rows_ = choose_bands(threshold, recall)
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    signed = materialise(narrow.mapInArrow(lambda it: signatures(it, width, bands, rows_), f"id {kind}, h long, node string, n long, bands array<long>"), "signed")
+    signed = materialise(narrow.mapInArrow(tidy(lambda it: signatures(it, width, bands, rows_)), f"id {kind}, h long, node string, n long, bands array<long>"), "signed")
     first = F.min(F.struct("id", "h"))
     nodes = materialise(signed.where("node is not null").groupBy("node").agg(first.alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -180,7 +180,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             got = [shingles(t.as_buffer().to_pybytes(), hashes, width).tobytes() for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.binary())], ["node", "size", "root", "s", "grams"])
 
-    sets = held.mapInArrow(grams, "node string, size long, root string, s int, grams binary")
+    sets = held.mapInArrow(tidy(grams), "node string, size long, root string, s int, grams binary")
 
     def spread(df: DataFrame, *more: str) -> DataFrame:
         """A home row in the cell of the own stratum and a visit to the one below."""
@@ -194,7 +194,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cell", F.least("salt", "k").alias("p"), F.greatest("salt", "k").alias("q"), "home", "node", "size", "salt", "grams")
     tasks = partitions_for(spark, docs, 8)
-    found = materialise(dealt.repartition(tasks, "cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(lambda it: _join_tiles(it, threshold), "a string, b string, links long"), "links")
+    found = materialise(dealt.repartition(tasks, "cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(tidy(lambda it: _join_tiles(it, threshold)), "a string, b string, links long"), "links")
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found).select(F.col("node").alias("rn"), "root")
     each = nodes.select("node", "rep", "size").join(links, "node", "left").join(roots, F.col("node") == F.col("rn"), "left").withColumn("root", F.coalesce("root", "node"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, materialise, table
+from .common import batches, discard, materialise, table, tidy
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("card", "phone", "secret", "ssn", "iban", "person")
@@ -338,7 +338,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base {SPANS}, base_sha256 string, found {SPANS}")
+    return narrow.mapInArrow(tidy(run), f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base {SPANS}, base_sha256 string, found {SPANS}")
 
 
 def fit(scanned: DataFrame) -> SpanClassifier:
@@ -375,7 +375,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _redacted(t: str | None, codes: set[int]) -> str | None:

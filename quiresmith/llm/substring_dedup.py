@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, groups, partitions_for, rolling, table
+from .common import WordHashes, batches, groups, partitions_for, rolling, table, tidy
 
 WIDTH = 35
 #: Bytes of text hashed together; a bucket gets one row from each such batch.
@@ -131,9 +131,9 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None =
             yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["id", "h", "cuts"])
 
     tasks = partitions_for(docs.sparkSession, docs, 8)
-    hashed = docs.mapInArrow(hash_windows, packed).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    marked = hashed.mapInArrow(mark, packed).repartition(tasks, "uid").sortWithinPartitions("uid", "bucket")
-    return marked.mapInArrow(merge, f"id {id_type}, h long, cuts binary").distinct()
+    hashed = docs.mapInArrow(tidy(hash_windows), packed).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    marked = hashed.mapInArrow(tidy(mark), packed).repartition(tasks, "uid").sortWithinPartitions("uid", "bucket")
+    return marked.mapInArrow(tidy(merge), f"id {id_type}, h long, cuts binary").distinct()
 
 
 def intervals(flag: np.ndarray, width: int) -> np.ndarray:
@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(cols, names)
 
     joined = narrow.join(cuts.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("h") == F.col("cut_h")), "left").select("id", "text", "cuts")
-    return joined.mapInArrow(cut, f"id {id_type}, n_words long, n_removed long, cuts binary, kept_sha256 string" + ", kept string" * with_text)
+    return joined.mapInArrow(tidy(cut), f"id {id_type}, n_words long, n_removed long, cuts binary, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op6_repeated_windows(spark, sf_dir: str) -> DataFrame:

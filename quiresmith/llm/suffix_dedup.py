@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, discard, groups, materialise, mix, partitions_for, rolling, table
+from .common import batches, discard, groups, materialise, mix, partitions_for, rolling, table, tidy
 from .suffix_array import suffix_array
 
 LENGTH, GRAM, MOST, SEGMENT = 100, 50, 4096, 1 << 20
@@ -180,10 +180,10 @@ def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: i
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, pa.binary())], ["id", "h", "start", "states"])
 
     tasks = partitions_for(docs.sparkSession, docs, 8)
-    hashed = docs.mapInArrow(pack, packed).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    marked = hashed.mapInArrow(mark, packed).repartition(tasks, "uid").sortWithinPartitions("uid", "bucket")
-    each = marked.mapInArrow(merge, "id long, h long, start int, states binary")
-    return each.groupBy("id", "h", "start").agg(F.collect_set("states").alias("all")).mapInArrow(once, "id long, h long, start int, states binary")
+    hashed = docs.mapInArrow(tidy(pack), packed).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    marked = hashed.mapInArrow(tidy(mark), packed).repartition(tasks, "uid").sortWithinPartitions("uid", "bucket")
+    each = marked.mapInArrow(tidy(merge), "id long, h long, start int, states binary")
+    return each.groupBy("id", "h", "start").agg(F.collect_set("states").alias("all")).mapInArrow(tidy(once), "id long, h long, start int, states binary")
 
 
 def contexts(docs: DataFrame, known: DataFrame, length: int, gram: int) -> DataFrame:
@@ -204,7 +204,7 @@ def contexts(docs: DataFrame, known: DataFrame, length: int, gram: int) -> DataF
 
     other = known.select(F.col("id").alias("kid"), F.col("h").alias("kh"), "states")
     both = docs.join(other.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh"))).select("id", "h", "text", "states")
-    return both.mapInArrow(run, "id long, h long, cuts binary, found array<struct<key:long,start:int,anchor:int,raw:binary>>")
+    return both.mapInArrow(tidy(run), "id long, h long, cuts binary, found array<struct<key:long,start:int,anchor:int,raw:binary>>")
 
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -257,7 +257,7 @@ def compare(rows: DataFrame, length: int, tasks: int, most: int) -> DataFrame:
                 yield from out.combine_chunks().to_batches()
 
     dealt = rows.repartition(tasks, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, id long, h long, start int, anchor int, raw binary, cuts binary")
+    return dealt.mapInArrow(tidy(run), "key long, id long, h long, start int, anchor int, raw binary, cuts binary")
 
 
 def _streams(it: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], bool]]:
@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         every = every.unionByName(c)
     gone = every.groupBy("id", "h").agg(F.collect_list("cuts").alias("cuts")).select(F.col("id").alias("kid"), F.col("h").alias("kh"), "cuts")
     both = narrow.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")), "left").select("id", "text", "cuts")
-    return both.mapInArrow(lambda it: _apply(it, with_bytes), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    return both.mapInArrow(tidy(lambda it: _apply(it, with_bytes)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
 def _copies(judged: DataFrame, length: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _copies(judged: DataFrame, length: int) -> DataFrame:
                 cuts.append((edge + [0, length - 1] + a).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.binary())], ["id", "h", "cuts"])
 
-    return judged.mapInArrow(run, "id long, h long, cuts binary").where(F.length("cuts") > 0)
+    return judged.mapInArrow(tidy(run), "id long, h long, cuts binary").where(F.length("cuts") > 0)
 
 
 def _apply(it: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
