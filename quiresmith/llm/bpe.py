@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import batches, table, tidy
 
 #: Pieces that a worker keeps with their ids; beyond it the store starts anew (speed only).
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 #: Cells of a bucket's matrix.
-CELLS = 1 << 21
+CELLS = 1 << 18
 #: Bytes of a piece from which on a heap takes the matrix's part.
 LONG = 2048
 NONE = np.int32(2**31 - 1)
@@ -252,7 +252,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         try:
-            for batch in batches(it, "text", 4 << 20):
+            for batch in batches(it, "text", 2 << 20):
                 yield coded(bpe, batch)
         finally:
             bpe.forget()

@@ -233,14 +233,15 @@ HOT_ROWS, HOT_SHARE = 256, 1 / 4096
 
 
 def join_totals(rows: DataFrame, key: str, totals: DataFrame, n_rows: int, count: str = "_n") -> DataFrame:
-    """rows with the columns of totals, one row a key, whose column `count` says how many rows the key has.
+    """rows with the columns of totals, a written table of one row a key, whose column `count` says how many rows the key has.
 
     Rows of hot keys, however many, are joined where they are: hot keys have over `HOT_SHARE` of n_rows each, so there
     are under 1 / HOT_SHARE of them, and those totals are broadcast. The others meet in a shuffle.
     """
     least = max(HOT_ROWS, int(n_rows * HOT_SHARE))
-    hot = totals.where(F.col(count) > least).drop(count)
-    cold = totals.where(F.col(count) <= least).drop(count)
+    hot, cold = totals.where(F.col(count) > least).drop(count), totals.where(F.col(count) <= least).drop(count)
+    if hot.isEmpty():
+        return rows.join(cold, key)
     left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(left.join(cold, key))
 
@@ -259,12 +260,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = signed(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n")), "least")
         large = join_totals(both, "u", least, 2 * seen[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        large = materialise(large, "edges")
+        smallest = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "least")
         small = join_totals(large, "u", smallest, 2 * seen[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         then = materialise(small, "edges")
-        discard(now)
+        for df in (now, least, large, smallest):
+            discard(df)
         now, sign = then, signed(then)
         if sign == seen:
             break

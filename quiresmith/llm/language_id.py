@@ -7,9 +7,8 @@ labelled rows (`SAMPLE` rows of at most `SAMPLE_BYTES` in all); temperature and
 that sample. A softmax is sure of texts unlike any language it knows too, so a text is also rejected where its subwords
 are rarer in the sample (mean logarithm of their shares) than those of all but `REJECT` of the held-back texts, by half their deviation. The sum over subwords is linear, so a word's share of the logits is computed once and kept.
 
-Defined cases: null or letterless texts get `und`, score 0, rejected; labels that are null aren't learned from, nor are
-any but the 1,000 most frequent labels; with no
-labelled row at all every text is `und`; with one label, every text with letters gets it; under
+Defined cases: null or letterless texts get `und`, score 0, rejected; labels that are null aren't learned from; a model that would have more
+than `CELLS` weights is refused with an error, no label is left out; with no labelled row at all every text is `und`; with one label, every text with letters gets it; under
 50 texts with letters to learn from set no thresholds; long texts are
 scored whole; repeated rows alike; an empty table gives no rows; other columns are never inputs.
 """
@@ -24,13 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, table, tidy
+from .common import batches, give_back, mix, table, tidy
 
 #: Labelled rows and bytes of text that a model is fitted on, at most.
 SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
 BUCKETS, DIM = 1 << 15, 16
+#: Weights of a model, at most: 1 GB.
+CELLS = 1 << 27
 #: Words that a worker keeps with their logits (speed only).
 KEPT_WORDS = 200_000
+#: Words whose subwords are hashed together.
+TOGETHER = 8192
 #: Share of held-back texts of known languages that each threshold may reject; some 6 of the 1,200 of a full sample.
 REJECT = 0.005
 LETTER = regex.compile(r"\p{L}")
@@ -96,12 +99,14 @@ class Model:
             if len(at) > len(self.sums):
                 self.sums = np.concatenate([self.sums[:first], np.zeros((2 * len(at) - first, self.sums.shape[1]))])
             self.sums[first : len(at)] = 0
-            lettered = np.array([k for k, w in enumerate(new) if w.isalpha() or LETTER.search(w)], np.int64)
-            rows, owner = subwords([new[k] for k in lettered])
-            for c in range(len(self.labels)):
-                self.sums[first + lettered, c] = np.bincount(owner, self.weights[rows, c], len(lettered))
-            self.sums[first + lettered, -2] = np.bincount(owner, self.usual[rows], len(lettered))
-            self.sums[first + lettered, -1] = np.bincount(owner, minlength=len(lettered))
+            every = np.array([k for k, w in enumerate(new) if w.isalpha() or LETTER.search(w)], np.int64)
+            for a in range(0, len(every), TOGETHER):
+                lettered = every[a : a + TOGETHER]
+                rows, owner = subwords([new[k] for k in lettered])
+                for c in range(len(self.labels)):
+                    self.sums[first + lettered, c] = np.bincount(owner, self.weights[rows, c], len(lettered))
+                self.sums[first + lettered, -2] = np.bincount(owner, self.usual[rows], len(lettered))
+                self.sums[first + lettered, -1] = np.bincount(owner, minlength=len(lettered))
             return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -127,6 +132,13 @@ class Model:
 
 def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, rate: float = 2.0) -> Model:
     """SGD over shuffled texts; every fifth text is held back for temperature and threshold."""
+    try:
+        return _train(texts, langs, seed, epochs, rate)
+    finally:
+        give_back()
+
+
+def _train(texts: list[str], langs: list[str], seed: int, epochs: int, rate: float) -> Model:
     labels = sorted(set(langs))
     c = len(labels)
     if not c:
@@ -190,19 +202,19 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, ra
 def training_rows(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled rows, spread by a hash of the id; whole texts.
 
-    As many rows a language as fit in equal shares of the row and byte bounds, so rare languages are learned too;
-    of more than 1,000 labels the most frequent.
+    As many rows a language as fit in equal shares of the row and byte bounds, so rare languages are
+    learned too. Labels are as many as the corpus has: they are a model's classes, whose weights must fit a worker.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size"), F.xxhash64(id_col).alias("h"))
-    stats = {r.lang: (r.n, r.size) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size")).orderBy(F.desc("n")).limit(1000).collect()}
+    stats = {r.lang: (r.n, r.size) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum("size").alias("size")).toLocalIterator()}
     if not stats:
         return [], []
-    share = None
-    for lang, (n, size) in stats.items():
-        keep = min(1.0, rows / len(stats) / n, most_bytes / len(stats) / max(1, size))
-        one = (F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(keep * (1 << 30)))
-        share = one if share is None else share | one
-    got, used, texts, langs = known.where(share).select("lang", "text", "h").toLocalIterator(), 0, [], []
+    if len(stats) * BUCKETS > CELLS:
+        raise ValueError(f"{len(stats)} labels make a model of over {CELLS} weights")
+    bound = lambda n, size: int(min(1.0, rows / len(stats) / n, most_bytes / len(stats) / max(1, size)) * (1 << 30))
+    shares = docs.sparkSession.createDataFrame([(lang, bound(*of)) for lang, of in stats.items()], "lang string, bound long")
+    chosen = known.join(F.broadcast(shares), "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("bound"))  # a row a label
+    got, used, texts, langs = chosen.select("lang", "text", "h").toLocalIterator(), 0, [], []
     kept = sorted((r.h, r.lang, r.text) for r in got)
     for _, lang, text in kept:
         used += len(text)
