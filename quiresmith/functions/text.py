@@ -22,6 +22,7 @@ LIGATURES = {
 }
 # Seasonings that begin a list item.
 SEASONINGS = "Salt|Pepper|Cayenne|Paprika|Sugar|Flour|Oil|Butter|Water|Milk|Cream|Egg|Eggs|Vinegar|Lemon|Lime|Wine|Stock|Broth|Yeast"
+# Fraction glyphs, all and those that follow a whole number.
 GLYPHS = "¼½¾⅓⅔⅛⅜⅝⅞⅕⅖⅗⅘⅙⅚⅐⅑⅒"
 GLYPHS_SHORT = "¼½¾⅓⅔⅛⅜⅝⅞"
 # A word boundary whose word characters are letters, digits and _ in any script, other number signs included.
@@ -71,20 +72,27 @@ def strip_tags(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"</?[a-zA-Z][^>]*>", ""))
 
 
+def each_match(c: Column, pattern: str, f) -> Column:
+    """c with f of every match of pattern in its place, in one pass from left to right."""
+    parts, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    rest = F.zip_with(found, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda m, after: F.concat(f(m), after))
+    return F.when(F.regexp_like(c, F.lit(pattern)), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(c)
+
+
+def _glyph(pair: Column) -> Column:
+    """The glyph of n/d with one digit each and either slash; null where there is none."""
+    known = F.create_map(*(F.lit(x) for (n, d), glyph in FRACTIONS.items() if d < 10 for x in (f"{n}/{d}", glyph)))
+    return F.try_element_at(known, F.translate(pair, "\u2044", "/"))
+
+
 def mixed_fractions(c: Column) -> Column:
-    """Digit, numerator, slash, denominator to the digit and a glyph, where there is one."""
-    for (n, d), glyph in FRACTIONS.items():
-        if d < 10:
-            c = F.regexp_replace(c, rf"(\d){n}[\x{{2044}}/]{d}", f"$1{glyph}")
-    return c
+    """Digit, numerator, slash, denominator to the digit and a glyph, where there is one; what was looked at once isn't again."""
+    return each_match(c, r"\d\d[\x{2044}/]\d", lambda m: F.coalesce(F.concat(F.substring(m, 1, 1), _glyph(F.substring(m, 2, 3))), m))
 
 
 def bare_fractions(c: Column) -> Column:
     """Numerator, fraction slash, denominator, no digit beside them, to a glyph."""
-    for (n, d), glyph in FRACTIONS.items():
-        if d < 10:
-            c = F.regexp_replace(c, rf"(?<!\d){n}\x{{2044}}{d}(?!\d)", glyph)
-    return c
+    return each_match(c, r"(?<!\d)\d\x{2044}\d(?!\d)", lambda m: F.coalesce(_glyph(m), m))
 
 
 def unit_fractions(c: Column) -> Column:
@@ -157,7 +165,7 @@ def has_numeric(c: Column) -> Column:
     return F.regexp_like(c, F.lit(r"\p{N}"))
 
 
-# Rewrites of misread fractions over a whole page, in order: (pattern, replacement); U stands for a unit ahead.
+# Rewrites of misread fractions over a whole page, in order: (pattern, replacement); U stands for a unit ahead.
 U = rf"(?=(?U:\s+)(?:{UNIT_STARTS}))"
 S = r"(?U:\s*)"
 FIXUPS = [

@@ -25,8 +25,9 @@ def ocr_lines(docs: DataFrame) -> DataFrame:
     """Lines of six words with boxes, confidence and injected recognition defects."""
     n, p = F.col("line_idx"), F.col("page_id")
     count = F.floor((F.size("words") + 5) / 6).cast("long")
-    rows = words(docs).withColumn("line_idx", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-    rows = rows.withColumn("t", F.array_join(F.slice("words", (n * 6 + 1).cast("int"), 6), " ")).drop("words")
+    # lines are joined before they are exploded, so that no row carries all words of its page
+    each = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.struct(i.alias("line_idx"), F.array_join(F.slice("words", (i * 6 + 1).cast("int"), 6), " ").alias("t")))
+    rows = words(docs).select("page_id", F.explode(each).alias("l")).select("page_id", "l.line_idx", "l.t")
     t, kind = F.col("t"), (p + n) % 14
     text = (
         F.when(kind == 0, F.concat(F.lit("1 1/2 cups "), t))
@@ -42,6 +43,7 @@ def ocr_lines(docs: DataFrame) -> DataFrame:
         .when(kind == 10, F.concat(F.lit("Salt "), F.substring(t, 1, 20)))
         .when(kind == 11, F.lit("BEANE NRA RENE"))
         .when(kind == 12, F.concat(F.lit("\ufb01"), t))
+        .when((kind == 13) & (n % 3 == 0), F.concat(F.lit("12/31/24 or 92/71/2 "), t))
         .otherwise(t)
     )
     two = p % 3 == 0
@@ -139,7 +141,7 @@ line1 AS (SELECT page_id, CAST(line_idx AS BIGINT) AS line_idx, array_to_string(
   CASE WHEN page_id % 3 = 0 THEN line_idx % 2 ELSE 0 END AS c, CASE WHEN page_id % 3 = 0 THEN line_idx // 2 ELSE line_idx END AS r FROM line0),
 line2 AS (SELECT page_id, line_idx, CASE (page_id + line_idx) % 14 WHEN 0 THEN '1 1/2 cups ' || t WHEN 1 THEN '11⁄2 cups ' || t WHEN 2 THEN '<b>' || t || '</b>'
   WHEN 3 THEN '• ' || t WHEN 4 THEN t || ' <math>\frac{3}{4}</math> cup' WHEN 5 THEN t || '-' WHEN 6 THEN lower(t) WHEN 7 THEN '| ' || t || ' |'
-  WHEN 8 THEN t || ':' WHEN 9 THEN '½ cup ' || t WHEN 10 THEN 'Salt ' || substr(t, 1, 20) WHEN 11 THEN 'BEANE NRA RENE' WHEN 12 THEN 'ﬁ' || t ELSE t END AS text,
+  WHEN 8 THEN t || ':' WHEN 9 THEN '½ cup ' || t WHEN 10 THEN 'Salt ' || substr(t, 1, 20) WHEN 11 THEN 'BEANE NRA RENE' WHEN 12 THEN 'ﬁ' || t WHEN 13 THEN CASE WHEN line_idx % 3 = 0 THEN '12/31/24 or 92/71/2 ' || t ELSE t END ELSE t END AS text,
   CAST(CASE WHEN banner THEN 120 ELSE 120 + c * 1100 + (page_id * 7 + line_idx * 13) % 40 END AS DOUBLE) AS x0,
   CASE WHEN banner THEN 1600 WHEN two THEN 900 ELSE 1800 END - (line_idx * 37) % 150 AS width,
   CAST(200 + r * 60 + (r // 5) * 70 AS DOUBLE) AS y0,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quiresmith.functions import noise
 from quiresmith.functions import text as T
 from quiresmith.operators import formatting, geometry, layout, profile, selection
 from quiresmith.plans import fixtures as fx
@@ -259,16 +260,29 @@ def strip_tags(s, d):
     return fx.table(s, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
 
 
+# matches of a mixed fraction and what stands between them; of each match the digit and the glyph, or itself
+FRACTION_MAP = "map {" + ", ".join(f"'{n}/{d}': '{g}'" for (n, d), g in T.FRACTIONS.items() if d < 10) + "}"
+MIXED = rf"""array_to_string(list_transform(list_zip(string_split_regex({{0}}, '\d\d[⁄/]\d'), regexp_extract_all({{0}}, '\d\d[⁄/]\d')),
+  lambda x: x[1] || coalesce(substr(x[2], 1, 1) || {FRACTION_MAP}[replace(substr(x[2], 2), '⁄', '/')], x[2], '')), '')"""
+
+
+def mixed(column: str) -> str:
+    return MIXED.replace("{0}", column)
+
+
 @query(
     with_("ocr_lines")
-    + r""", c AS (SELECT page_id, line_idx, regexp_replace(regexp_replace(regexp_replace(replace(text, '<math>\frac{3}{4}</math>', '¾'), '<b>(.*?)</b>', '**\1**', 'gs'), '(\d)1⁄2', '\1½', 'g'), '(\d)\s+1/2(\s+cups)', '\1½\2', 'g') AS t FROM ocr_lines)
+    + r""", b AS (SELECT page_id, line_idx, regexp_replace(replace(text, '<math>\frac{3}{4}</math>', '¾'), '<b>(.*?)</b>', '**\1**', 'gs') AS t FROM ocr_lines),
+c AS (SELECT page_id, line_idx, regexp_replace("""
+    + mixed("t")
+    + r""", '(\d)\s+1/2(\s+cups)', '\1½\2', 'g') AS t FROM b)
 SELECT page_id, line_idx, trim(regexp_replace(regexp_replace(t, '^\s*•\s+', '- '), '[ \t]+', ' ', 'g')) AS text FROM c"""
 )
 def clean_markup(s, d):
     return lines(s, d).select("page_id", "line_idx", T.clean_line(F.col("text")).alias("text"))
 
 
-@query(with_("ocr_lines") + r"SELECT page_id, line_idx, regexp_replace(text, '(\d)1⁄2', '\1½', 'g') AS text FROM ocr_lines")
+@query(with_("ocr_lines") + "SELECT page_id, line_idx, " + mixed("text") + " AS text FROM ocr_lines")
 def fraction_mixed(s, d):
     return lines(s, d).select("page_id", "line_idx", T.mixed_fractions(F.col("text")).alias("text"))
 
@@ -363,20 +377,39 @@ def looks_like_word(s, d):
     lex = fx.lexicon(docs(s, d))
     edge = r"[.,!?;:'\"()\[\]{}/\\]+"
     tokens = lines(s, d).select(F.explode(F.split("text", " ")).alias("t")).select(F.regexp_replace(F.lower("t"), f"^{edge}|{edge}$", "").alias("token")).where("token <> ''").distinct()
-    t = F.col("token")
-    spelled = F.regexp_like(t, F.lit("[aeiouy]")) & ~F.regexp_like(t, F.lit("[bcdfghjklmnpqrstvwxz]{4}"))
-    common = F.coalesce(F.col("cnt").cast("decimal(38,0)") * 1000000000 >= F.col("total") * 100, F.lit(False))
-    listed = t.isin(sorted(formatting.folds.ALLOWED_WORDS | formatting.folds.HEADER_WORDS))
-    return tokens.join(lex, "token", "left").select("token", ((F.length(t) >= 2) & (T.has_numeric(t) | listed | (spelled & common))).alias("is_word"))
+    known = F.create_map("token", F.log10(F.col("cnt") * 1e9 / F.col("total")))
+    return tokens.join(lex, "token", "left").select("token", noise.is_word(F.col("token"), known).alias("is_word"))
 
 
 def known_lines(s, d):
-    return formatting.with_known(lines(s, d), ["page_id", "line_idx"], formatting.page_words("text"), fx.lexicon(docs(s, d)))
+    return formatting.with_known(lines(s, d), ["page_id", "line_idx"], noise.page_words(F.col("text")), fx.lexicon(docs(s, d)))
 
 
-@query()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _listed(words) -> str:
+    return "(" + ", ".join(_quoted(w) for w in sorted(words)) + ")"
+
+
+@query(
+    with_("ocr_lines", "lexicon")
+    + rf""", ln AS (SELECT page_id, line_idx, text, trim(text) AS s FROM ocr_lines),
+tk AS (SELECT page_id, line_idx, unnest(list_filter(string_split_regex(s, '\s+'), lambda x: x <> '')) AS t FROM ln),
+ed AS (SELECT *, trim(t, {_quoted(noise.BARE_EDGE)}) AS b, trim(lower(t), {_quoted(noise.WORD_EDGE)}) AS w FROM tk),
+zf AS (SELECT token, log10(cnt * 1e9 / total) AS zipf FROM lexicon),
+fa AS (SELECT page_id, line_idx, b, regexp_matches(b, '\p{{Lu}}') AND NOT regexp_matches(b, '[\p{{Ll}}\p{{Lt}}]') AS shouted, coalesce(zb.zipf, 0) AS zipf,
+  length(w) > 1 AND (regexp_matches(w, '\p{{N}}') OR w IN {_listed(noise.ALLOWED_WORDS | noise.HEADER_WORDS)} OR coalesce(zw.zipf, 0) >= 2 AND regexp_matches(w, '[aeiouy]') AND NOT regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{{4}}')) AS word
+  FROM ed LEFT JOIN zf zw ON zw.token = w LEFT JOIN zf zb ON zb.token = lower(b)),
+ct AS (SELECT page_id, line_idx, count(*) AS n, count(*) FILTER (WHERE word) AS words, count(*) FILTER (WHERE zipf >= 4) AS common, count(*) FILTER (WHERE b <> '' AND NOT (shouted AND length(b) > 1)) AS calm,
+  bool_or(shouted AND length(b) < 9 AND zipf < 3.5 AND lower(b) NOT IN {_listed(noise.HEADER_WORDS)}) AS named FROM fa GROUP BY ALL),
+ft AS (SELECT *, length(s) AS chars, length(regexp_replace(s, '[^\p{{L}}]', '', 'g')) AS letters FROM ln JOIN ct USING (page_id, line_idx))
+SELECT page_id, line_idx, text FROM ft WHERE (chars < 3 AND letters < 2) OR (chars > 5 AND letters * 20 < chars * 7) OR (chars < 7 AND NOT regexp_matches(s, '\p{{Nd}}'))
+  OR (n < 5 AND chars < 30 AND words = 0) OR (n > 1 AND words * 5 < n * 2) OR (n = 1 AND named) OR (chars < 35 AND calm = 0 AND common < greatest(1, n // 2))"""
+)
 def garbage_lines(s, d):
-    return known_lines(s, d).where(formatting.is_garbage("text", "known")).select("page_id", "line_idx", "text")
+    return known_lines(s, d).where(noise.garbage(F.col("text"), F.col("known"))).select("page_id", "line_idx", "text")
 
 
 def page_text(s, d):

@@ -35,8 +35,9 @@ def batch_of(page: Column, size: int) -> Column:
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSON lines (book from the file's name); malformed lines are skipped."""
-    text = spark.read.text(path).withColumn("book", F.regexp_extract(F.input_file_name(), r"([^/]+?)\.(?:jsonl|json)$", 1))
+    """Rows of JSON lines; a row's book is its own or, without one, the file's name. Malformed lines are skipped."""
+    of_file = F.regexp_extract(F.input_file_name(), r"([^/]+?)\.(?:jsonl|json)$", 1)
+    text = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("book", F.coalesce(F.get_json_object("value", "$.book"), of_file))
     return parse_checkpoints(text)
 
 
@@ -77,8 +78,9 @@ def incomplete(books: DataFrame, written: DataFrame) -> DataFrame:
     return books.join(full, "book", "left_anti")
 
 
-def header(book: Column, engine: str, dpi: int) -> Column:
-    return F.concat(F.lit("# "), book, F.lit(f"\n\n_Digitized with {engine} at {dpi} DPI._\n\n---\n"))
+def header(book: Column, file: Column, total: Column, engine: str) -> Column:
+    """The head of a book's Markdown; file: the name of the PDF, total: its pages."""
+    return F.concat(F.lit("# "), book, F.lit("\n\n*OCR transcription of `"), file, F.lit("` ("), total, F.lit(f" pages). Engine: {engine}.*\n\n---\n"))
 
 
 def section(page: Column, markdown: Column) -> Column:
@@ -93,13 +95,25 @@ def book_markdown(pages_md: DataFrame) -> DataFrame:
 
 
 def write_books(books: DataFrame, path: str, force: bool = False) -> None:
-    """One text file a partition of books; committed as a whole by Spark's writer. force replaces what is there."""
-    books.select("book", F.col("markdown").alias("value")).write.mode("overwrite" if force else "errorifexists").partitionBy("book").text(path)
+    """(book, markdown) as text files, a partition a book, committed as a whole by Spark's writer.
+
+    Books beside them under path stay. A book that is there already is an error, or replaced by force.
+    """
+    spark = books.sparkSession
+    rows = books.select("book", F.col("markdown").alias("value"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not force and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        there = spark.read.text(path)
+        if "book" in there.columns:
+            both = rows.select(F.col("book").cast("string")).join(there.select(F.col("book").cast("string")).distinct(), "book", "left_semi")
+            if some := [r.book for r in both.limit(5).collect()]:
+                raise FileExistsError(f"books already written under {path}: {some}")
+    rows.write.mode("overwrite" if force else "append").option("partitionOverwriteMode", "dynamic").partitionBy("book").text(path)
 
 
 def append_checkpoints(rows: DataFrame, path: str) -> None:
-    """(page, conf, mode, chars) as JSON lines, added to what is there."""
-    rows.write.mode("append").json(path)
+    """(book, page, conf, mode, chars) as JSON lines, added to what is there."""
+    rows.select("book", "page", "conf", "mode", "chars").write.mode("append").json(path)
 
 
 def scaled_size(width: Column, height: Column, dpi: Column, least: int = 320) -> tuple[Column, Column]:

@@ -52,7 +52,7 @@ def render(content: bytes, page: int, dpi: int):
     with fitz.open(stream=content, filetype="pdf") as doc:
         pix = doc[page - 1].get_pixmap(dpi=dpi, alpha=False)
     flat = np.frombuffer(pix.samples, np.uint8).reshape(pix.height, pix.width, pix.n)
-    return flat[:, :, ::-1].copy() if pix.n == 3 else flat
+    return flat[:, :, 2::-1].copy() if pix.n >= 3 else flat.repeat(3, axis=2)  # a fourth channel goes
 
 
 def recognize(pages: DataFrame, factory: Callable[[], Engine]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quiresmith.functions import folds
+from quiresmith.functions import folds, noise
 from quiresmith.functions import text as T
 
 KNOWN = {"tablespoons": 3.0, "medium-low": 2.5, "oz": 4.2, "add": 5.5, "to": 7.0, "the": 7.5, "pan": 4.4, "day": 6.0, "or": 7.0, "chicken": 4.5, "soup": 4.2, "with": 7.0, "rice": 4.4}
@@ -32,19 +32,26 @@ def test_blocks():
     assert folds.simple_list(["You need:", "1 cup flour", "and salt", "Then you bake it all for an hour in the oven.", "Done"], {}) == "You need:\n\n- 1 cup flour and salt\n\nThen you bake it all for an hour in the oven.\n\nDone"
 
 
-def test_margins_and_garbage():
-    assert folds.trim_margins("| Add to the pan:", KNOWN) == "Add to the pan:"
-    assert folds.trim_margins("day or |", KNOWN) == "day or"
-    for line in ("Ho HE", "a uA", "BEANE NRA RENE NERA", "EEE HEHE", "½ cup", "Notes", "1 tsp"):
-        assert folds.garbage(line, KNOWN), line
-    assert not folds.garbage("4 oz", KNOWN)
-    assert not folds.garbage("", KNOWN)
+def noise_of(spark, f, *texts, known=KNOWN):
+    """What f makes of each text."""
+    rows = spark.createDataFrame([(t, known) for t in texts], "t string, known map<string,double>")
+    return [r.o for r in rows.select(f(rows.t, rows.known).alias("o")).collect()]
 
 
-def test_headings():
-    assert folds.headings("\nChicken Soup\n\nadd the rice to the pan", KNOWN) == "## Chicken Soup\n\nadd the rice to the pan"
-    assert folds.headings("text here\n\nChicken Soup", KNOWN).endswith("Chicken Soup")
-    assert "##" not in folds.headings("\nCHICKEN SOUP\n\nadd the rice to it", KNOWN)
+def test_margins_and_garbage(spark):
+    assert noise_of(spark, noise.trim_margins, "| Add to the pan:", "day or |", "-- . Add to", "", " x  y ") == ["Add to the pan:", "day or", "Add to", "", ""]
+    lines = ("Ho HE", "a uA", "BEANE NRA RENE NERA", "EEE HEHE", "½ cup", "Notes", "1 tsp", "*** --- ***", "HE")
+    assert all(noise_of(spark, noise.garbage, *lines))
+    assert not any(noise_of(spark, noise.garbage, "4 oz", "", "  ", "add the chicken to the pan"))
+    assert noise_of(spark, noise.garbage, "4 oz", "word here", known=None) == [True, True]
+
+
+def test_headings(spark):
+    mark = lambda t: noise_of(spark, noise.mark_headings, t)[0]
+    assert mark("\nChicken Soup\n\nadd the rice to the pan") == "## Chicken Soup\n\nadd the rice to the pan"
+    assert mark("text here\n\nChicken Soup").endswith("Chicken Soup")
+    assert "##" not in mark("\nCHICKEN SOUP\n\nadd the rice to it")
+    assert mark("") == "" and mark("\n \n") == ""
 
 
 @pytest.mark.parametrize(
@@ -54,6 +61,9 @@ def test_headings():
         ("23⁄4 cups", "2¾ cups"),
         ("1 1/2 cups", "1½ cups"),
         ("11/25", "1½5"),
+        ("12/31/24", "1⅔1/24"),
+        ("92/71/2", "92/71/2"),
+        ("13⁄46⁄7 and 1⁄2, 3⁄7", "1¾6⁄7 and ½, 3⁄7"),
         (r"a <math>\frac{1}{2}</math> b", "a ½ b"),
         (r"<math>\frac{7}{13} \alpha x</math>", "7/13 x"),
         ("<b>Bold</b> <i>it</i> <u>u</u>", "**Bold** *it* u"),

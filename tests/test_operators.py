@@ -83,6 +83,28 @@ def test_checkpoints_skip_what_is_not_json(spark):
     assert {tuple(r) for r in books.resume(total, got).collect()} == {("b", 1), ("b", 4), ("c", 1), ("c", 2)}
 
 
+def test_checkpoints_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a: b", 1, 50.0, "m", 3), ("c", 2, 1.5, "m", 4)], "book string, page int, conf double, mode string, chars int")
+    for _ in range(2):
+        books.append_checkpoints(rows, str(tmp_path / "cp"))
+    (tmp_path / "cp" / "old.jsonl").write_text('{"page": 7, "conf": 2.0}\nbroken\n')
+    got = sorted({(r.book, r.page, r.mode) for r in books.read_checkpoints(spark, str(tmp_path / "cp")).collect()})
+    assert got == [("a: b", 1, "m"), ("c", 2, "m"), ("old", 7, None)]
+
+
+def test_books_are_replaced_one_by_one(spark, tmp_path):
+    to = str(tmp_path / "out")
+    make = lambda *rows: spark.createDataFrame(rows, "book string, markdown string")
+    books.write_books(make(("a", "one"), ("b", "two")), to)
+    books.write_books(make(("c", "three")), to)
+    with pytest.raises(FileExistsError):
+        books.write_books(make(("a", "again")), to)
+    books.write_books(make(("a", "again")), to, force=True)
+    assert {(r.book, r.value) for r in spark.read.text(to).collect()} == {("a", "again"), ("b", "two"), ("c", "three")}
+    head = spark.range(1).select(books.header(F.lit("x"), F.lit("x.pdf"), F.lit(3), "surya")).first()[0]
+    assert head == "# x\n\n*OCR transcription of `x.pdf` (3 pages). Engine: surya.*\n\n---\n"
+
+
 def test_streaming_commits_what_has_arrived(spark, tmp_path):
     from quiresmith.streaming.pages import page_stream, run_available
 
