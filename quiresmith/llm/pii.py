@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+\Z")
-EMAIL_REST = re.compile(r"[A-Za-z0-9._%+@-]*")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 
 
 def luhn(digits: str) -> bool:
@@ -48,20 +50,34 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(t: str) -> list[tuple[int, int]]:
-    """Matches of EMAIL: they lie in runs of its characters that hold an @, so only those are searched."""
-    out, at = [], t.find("@")
+    """Matches of EMAIL, looked for at each @, so that long runs without one cost nothing: no local part holds an @."""
+    out, at, least = [], t.find("@"), 0
     while at >= 0:
         a = at
-        while a and (t[a - 1].isascii() and t[a - 1].isalnum() or t[a - 1] in "._%+-@"):
+        while a > least and t[a - 1] in LOCAL:
             a -= 1
-        b = EMAIL_REST.match(t, at).end()
-        out += [m.span() for m in EMAIL.finditer(t, a, b)]
-        at = t.find("@", b)
+        least = at + 1
+        m = DOMAIN.match(t, at + 1) if a < at else None
+        if m:
+            out.append((a, m.end()))
+            least = m.end()
+        at = t.find("@", least)
     return out
 
 
-def _ip(m: re.Match) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p[-3:] if len(p) > 3 else p) <= 255 for p in m[0].split("."))
+def _ips(t: str) -> list[tuple[int, int]]:
+    """Matches of IP that are addresses: of each run of numbers and dots, number by number in fours."""
+    out = []
+    for m in DOTTED.finditer(t):
+        parts = m[0].split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in four):
+                out.append((at, end))
+            at = end + 1
+    return out
 
 
 def _digits(s: str) -> str:
@@ -75,7 +91,7 @@ def base_spans(t: str | None) -> list[list[tuple[int, int]]]:
     emails = _emails(t)
     if not DIGIT.search(t):
         return [emails, [], [], []]
-    ips = [m.span() for m in IP.finditer(t) if _ip(m)]
+    ips = _ips(t) if "." in t else []
     cards = [m.span() for m in CARD.finditer(t) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     phones = [m.span() for m in PHONE.finditer(t) if 9 <= len(_digits(m[0])) <= 15] if "+" in t else []
     return [emails, ips, cards, phones]
@@ -90,6 +106,7 @@ IBAN_KEYS = frozenset("iban account konto compte cuenta".split())
 HASH_KEYS = frozenset("commit sha sha1 sha256 md5 checksum etag revision rev isbn issn order invoice version page id".split())
 TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame señor señora".split())
 GIVEN = frozenset("james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen anna maria peter hans klaus pierre marie jean juan carlos carmen jose".split())
+NOT_NAMES = frozenset("president chairman chairwoman speaker minister secretary mayor senator right wrong big small who no yes pepper house january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
 PERSON_KEYS = frozenset("name contact by from signed author regards sincerely called".split())
 
 VALUE = re.compile(r"[:=]\s{0,2}[\"'“]?([^\s\"'”,;<>]{6,})")
@@ -110,7 +127,7 @@ HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 #: Ends of compound names of secrets, as in db_password.
 KEY_ENDS = ("_key", "_token", "_secret", "password")
 
-LABELERS = ("shape", "entropy", "checksum", "keyword", "other_keyword", "title", "assignment", "quoted", "prose", "issued")
+LABELERS = ("shape", "entropy", "checksum", "keyword", "other_keyword", "name", "assignment", "quoted", "prose", "issued")
 
 
 def _named(word: str, keys: frozenset[str]) -> bool:
@@ -118,6 +135,12 @@ def _named(word: str, keys: frozenset[str]) -> bool:
     return word in keys or word.endswith(KEY_ENDS)
 
 
+def _name(v: str) -> int:
+    """What the gazetteers say of the words after a title: given names for, offices, days and the like against."""
+    words = [w.lower() for w in v.replace(".", " ").split() if w.lower() not in TITLES]
+    return -1 if NOT_NAMES.intersection(words) else 1 if GIVEN.intersection(words) else 0
+
+
 def _iban_ok(v: str) -> bool:
     return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
@@ -139,6 +162,8 @@ def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
     keys = {"card": CARD_KEYS, "phone": PHONE_KEYS, "secret": SECRET_KEYS, "ssn": SSN_KEYS, "iban": IBAN_KEYS, "person": PERSON_KEYS}[kind]
     if kind == "secret":
         shape = 1 if len(v) >= 16 and (HEX.match(v) and letters or mixed) else -1 if not digits else 0
+    elif kind in ("card", "phone"):  # written in groups, or in a row of its own
+        shape = 1 if not v.isdigit() or not (t[a - 1 : a].isalnum() or t[b : b + 1].isalnum()) else -1
     else:
         shape = 1
     if kind == "card":
@@ -158,7 +183,7 @@ def votes(kind: str, v: str, t: str, a: int, b: int) -> tuple[list[int], int]:
         check,
         1 if _named(word, keys) else 0,
         -1 if word in HASH_KEYS else 0,
-        (1 if v.split(".")[0].split(" ")[0].lower() in TITLES or v.split(" ")[-1].lower() in GIVEN else -1) if kind == "person" else 0,
+        _name(v) if kind == "person" else 0,
         1 if tail[-1:] in (":", "=") else 0,
         1 if before[-1:] in ("\"", "'", "“") and t[b : b + 1] in ("\"", "'", "”") else 0,
         -1 if kind == "secret" and (not digits and v.rstrip(".!?").isalpha() or "://" in v or "|" in v) else 0,
@@ -192,13 +217,35 @@ def _values(t: str) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def _free_parts(a: int, b: int, free: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What spans in `free` leave of a..b, parts of 6 characters or more."""
-    out = []
-    for x, y in sorted(s for s in free if a < s[1] and s[0] < b):
-        out.append((a, x))
-        a = max(a, y)
-    return [(x, y) for x, y in [*out, (a, b)] if y - x >= 6]
+class Taken:
+    """Disjoint spans in order, to ask what overlaps them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+    def gaps(self, a: int, b: int) -> list[tuple[int, int]]:
+        """What the spans leave of a..b, parts of 6 characters or more."""
+        out, k = [], bisect_right(self.ends, a)
+        while k < len(self.starts) and self.starts[k] < b:
+            out.append((a, self.starts[k]))
+            a = max(a, self.ends[k])
+            k += 1
+        return [(x, y) for x, y in [*out, (a, b)] if y - x >= 6]
 
 
 def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -226,15 +273,15 @@ def candidates(t: str | None, taken: list[tuple[int, int]]) -> list[tuple[int, i
         found += [(*m.span(), "iban") for m in IBAN.finditer(t)]
     if "r" in t or "s" in t:
         found += [(*m.span(), "person") for m in PERSON.finditer(t)]
-    out, free = [], sorted(taken)
+    out, free = [], Taken(taken)
     for a, b, kind in sorted(set(found), key=lambda x: (PREFER.index(x[2]), x[0], -x[1])):
         parts = [(a, b)]
-        if b <= a or any(a < y and x < b for x, y in free):
+        if b <= a or free.overlaps(a, b):
             if kind != "secret" or b - a <= LONG:
                 continue
-            parts = _free_parts(a, b, free)
+            parts = free.gaps(a, b)
         for a, b in parts:
-            free.append((a, b))
+            free.add(a, b)
             v, shape = votes(kind, t[a:b], t, a, b)
             code = 0
             for x in v:
