@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, discard, groups, materialise, partitions_for, table, tidy
 
 COSINE, BLOCK, TILE, SLACK = 0.98, 8, 1024, 2e-6
+MASK = (1 << 64) - 1
 
 
 def rotation(d: int, seed: int = 11) -> np.ndarray:
@@ -80,12 +81,15 @@ def _unit(raw: bytes) -> np.ndarray:
 
 
 def _cells(it: Iterator[pa.RecordBatch], cosine: float, width: int, payload: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of (cell, home, node, size, unit): one for a vector's own cell in each block, four for visits."""
+    """Rows of (cell, check, home, node, size, unit): one for a vector's own cell in each block, four for visits.
+
+    cell and check are hashes of label, length, block and grid place, 115 bits in all: a cell's rows agree in these.
+    """
     turn: dict[int, np.ndarray] = {}
     for batch in it:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            cell, home, which, units = [], [], [], []
+            cell, check, home, which, units = [], [], [], [], []
             labels = part.column(part.schema.get_field_index("label")).to_pylist()
             for k, raw in enumerate(part.column(part.schema.get_field_index("vec")).to_pylist()):
                 u = _unit(raw)
@@ -101,11 +105,12 @@ def _cells(it: Iterator[pa.RecordBatch], cosine: float, width: int, payload: boo
                     y = int(np.floor(u[a + 1] / step)) if e - a > 1 else 0
                     around = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)) if e - a > 1 else ((0, 0), (1, 0))
                     for dx, dy in around:
-                        key = xxhash.xxh3_64_intdigest(head + b"\0%d %d %d %d" % (d, b, x + dx, y + dy))
-                        cell.append(((key >> 13) << 12) | b)  # the block's number in the low bits
+                        key = xxhash.xxh3_128_intdigest(head + b"\0%d %d %d %d" % (d, b, x + dx, y + dy))
+                        cell.append((((key & MASK) >> 13) << 12) | b)  # the block's number in the low bits
+                        check.append(key >> 64)
                         home.append(not (dx or dy))
                         which.append(k)
-            names, cols = ["cell", "home"], [pa.array(np.array(cell, np.int64)), pa.array(home, pa.bool_())]
+            names, cols = ["cell", "check", "home"], [pa.array(np.array(cell, np.int64)), pa.array(np.array(check, np.uint64).view(np.int64)), pa.array(home, pa.bool_())]
             take = pa.array(which, pa.int32())
             names.append("node")
             cols.append(part.column(part.schema.get_field_index("node")).take(take))
@@ -156,7 +161,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _join_cells(it: Iterator[pa.RecordBatch], cosine: float, width: int) -> Iterator[pa.RecordBatch]:
     """Per tile: links of each node and its root; close calls as pairs (a, b) for a second look."""
     kind = None
-    for (cell, p, q), rows in groups(it, ["cell", "p", "q"]):
+    for (cell, _, p, q), rows in groups(it, ["cell", "check", "p", "q"]):
         n = rows.num_rows
         kind = rows.schema.field("node").type
         if n < 2:
@@ -222,20 +227,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     kind = rows.schema["id"].dataType.simpleString()
     nodes = materialise(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec")), "classes")
     tasks = partitions_for(spark, nodes, 1)
-    light = nodes.select("node", "label", "vec").mapInArrow(tidy(lambda it: _cells(it, cosine, width, False)), f"cell long, home boolean, node {kind}")
+    light = nodes.select("node", "label", "vec").mapInArrow(tidy(lambda it: _cells(it, cosine, width, False)), f"cell long, check long, home boolean, node {kind}")
     hot = materialise(light.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tile).select(F.col("cell").alias("hot"), F.ceil(F.col("n") / tile).cast("int").alias("parts")), "hot-cells")
-    full = nodes.select("node", "label", "vec", "size").mapInArrow(tidy(lambda it: _cells(it, cosine, width, True)), f"cell long, home boolean, node {kind}, size long, unit binary")
+    full = nodes.select("node", "label", "vec", "size").mapInArrow(tidy(lambda it: _cells(it, cosine, width, True)), f"cell long, check long, home boolean, node {kind}, size long, unit binary")
     parts = F.coalesce("parts", F.lit(1))
     dealt = full.join(hot, F.col("cell") == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64("node", "home"), parts).cast("int"))
-    dealt = dealt.select("cell", "home", "node", "size", "unit", "salt", F.explode(F.sequence(F.lit(0), parts - 1)).alias("k"))
-    dealt = dealt.select("cell", F.least("salt", "k").alias("p"), F.greatest("salt", "k").alias("q"), "home", "node", "size", "unit", "salt")
-    dealt = dealt.repartition(tasks, "cell", "p", "q").sortWithinPartitions("cell", "p", "q")
+    dealt = dealt.select("cell", "check", "home", "node", "size", "unit", "salt", F.explode(F.sequence(F.lit(0), parts - 1)).alias("k"))
+    dealt = dealt.select("cell", "check", F.least("salt", "k").alias("p"), F.greatest("salt", "k").alias("q"), "home", "node", "size", "unit", "salt")
+    dealt = dealt.repartition(tasks, "cell", "p", "q").sortWithinPartitions("cell", "check", "p", "q")
     found = materialise(dealt.mapInArrow(tidy(lambda it: _join_cells(it, cosine, width)), f"a {kind}, b {kind}, links long"), "links")
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("vec").alias(f"vec_{s}"), F.col("size").alias(f"size_{s}"))
     close = found.where("links < 0").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "vec_a", "vec_b", "size_a", "size_b")
     close = close.mapInArrow(tidy(lambda it: _verify(it, cosine)), f"a {kind}, b {kind}, links long")
     links = materialise(found.where("links > 0").unionByName(close), "links")
     discard(found)
+    discard(hot)
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(links).withColumnRenamed("node", "root_node")
     each = nodes.select("same", "node", "size").join(counts, "node", "left").join(roots, F.col("node") == F.col("root_node"), "left")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, components, groups, materialise, mix, partitions_for, rolling, table, tidy
+from .common import WordHashes, batches, components, groups, join_totals, materialise, mix, partitions_for, rolling, table, tidy
 from .embedding_dedup import local_roots
 
 WIDTH, THRESHOLD, RECALL, HASHES, TILE = 5, 0.8, 0.999, 64, 1024
@@ -36,15 +36,22 @@ TILE_BYTES = 12 << 20
 
 @lru_cache(maxsize=None)
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
-    """(bands, rows): the most rows a band for which `hashes` suffice to reach the recall at the threshold."""
-    best = (hashes, 1)
-    for rows in range(1, hashes + 1):
+    """(bands, rows): the most rows a band for which `hashes` suffice to reach the recall at the threshold.
+
+    Where they don't even for bands of one row, there are as many such bands as the recall takes.
+    """
+
+    def bands_for(rows: int) -> int:
         hit = threshold**rows
-        if hit < 1e-12:
+        return 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log1p(-hit))
+
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold must be over 0 and at most 1, recall between 0 and 1")
+    best = bands_for(1), 1
+    for rows in range(2, hashes + 1):
+        if threshold**rows < 1e-12 or bands_for(rows) * rows > hashes:
             break
-        bands = 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log1p(-hit))
-        if bands * rows <= hashes:
-            best = bands, rows
+        best = bands_for(rows), rows
     return best
 
 
@@ -165,8 +172,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     first = F.min(F.struct("id", "h"))
     nodes = materialise(signed.where("node is not null").groupBy("node").agg(first.alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("key", "least")
-    near = keys.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    least = materialise(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("_n")).where("_n > 1"), "buckets")
+    near = join_totals(keys, "key", least, bands * nodes.count()).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     # strings of one length: their order is the bytes' order
     group = materialise(components(near), "groups")
     stratum = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9) if threshold < 1 else F.lit(0)
@@ -220,11 +227,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     from pyspark.sql import Window
 
-    names = docs.columns
-    got = join(docs, id_col, text_col, **options).where("kept").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    found = docs.withColumn("__x", F.xxhash64(text_col)).join(got.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left_semi")
-    numbered = found.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__x").orderBy(F.lit(0))))
-    return numbered.where(F.col("__n") == 1).select(*(F.col(f"`{c}`") for c in names))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("h"))
+    got = join(docs, id_col, text_col, **options).where("kept").select(F.col("id").alias("kid"), F.col("h").alias("kh")).distinct()
+    found = whole.join(got.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kid")) & (F.col("h") == F.col("kh")), "left_semi")
+    numbered = found.withColumn("n", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.lit(0))))
+    return numbered.where("n = 1").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
