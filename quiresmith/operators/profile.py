@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def smooth(ink: DataFrame, k: int) -> DataFrame:
-    """Moving average over k columns; beyond the edges there is no ink, and k stays the divisor."""
+def smooth(ink: DataFrame, k: int | None = None) -> DataFrame:
+    """Moving average over k columns, max(5, w // 200) where none is given; beyond the edges there is no ink, and k stays the divisor."""
+    if k is None:
+        return _smooth_by_width(ink)
     frame = Window.partitionBy("page_id").orderBy("x").rowsBetween(-(k // 2), (k - 1) // 2)
     return ink.withColumn("smoothed", F.sum("ink").over(frame) / k)
 
 
+def _smooth_by_width(ink: DataFrame) -> DataFrame:
+    """A page's columns as one array: a window frame can't follow the page's width."""
+    page = ink.groupBy("page_id", "w", "h").agg(F.sort_array(F.collect_list(F.struct("x", "ink"))).alias("a"))
+    page = page.withColumn("k", F.greatest(F.lit(5), F.floor(F.col("w") / 200).cast("int")).cast("int"))
+
+    def mean(e: Column, i: Column) -> Column:
+        start = F.greatest(F.lit(0), i - F.floor(F.col("k") / 2)).cast("int")
+        n = F.least(F.size("a"), i + F.floor((F.col("k") - 1) / 2) + 1).cast("int") - start
+        total = F.aggregate(F.slice("a", start + 1, n), F.lit(0.0), lambda s, v: s + v["ink"])
+        return F.struct(e["x"].alias("x"), e["ink"].alias("ink"), (total / F.col("k")).alias("smoothed"))
+
+    return page.select("page_id", "w", "h", F.explode(F.transform("a", mean)).alias("e")).select("page_id", "e.x", "e.ink", "w", "h", "e.smoothed")
+
+
 def boundaries(smoothed: DataFrame, low: float = 0.01, high: float = 0.55) -> DataFrame:
     """Adds boundary, and the page's left and right edges of content (null if there is none)."""
     out = smoothed.withColumn("boundary", (F.col("smoothed") < F.col("h") * low) | (F.col("smoothed") > F.col("h") * high))

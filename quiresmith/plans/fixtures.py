@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +129,27 @@ def ink(docs: DataFrame) -> DataFrame:
     return rows.select("page_id", "x", value.cast("double").alias("ink"), F.lit(600).cast("long").alias("w"), F.lit(1000).cast("long").alias("h"))
 
 
+RASTER_W, RASTER_H = 360, 30
+
+
+def rasters(docs: DataFrame) -> DataFrame:
+    """(page_id, w, h, pixels): gray images with text, gutters and rules."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def draw(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[:RASTER_H, :RASTER_W]
+        for batch in it:
+            out = []
+            for p in batch.column(0).to_pylist():
+                text = (y % 10 < 6) & ((x * 7 + y * 3 + p) % 5 < 3) & (x >= 12) & (x < 348) & ~((p % 3 == 0) & (x >= 172) & (x < 188))
+                rule = (p % 2 == 0) & (y == 24) & (x >= 20) & (x < 340) | (p % 5 == 0) & (x >= 178) & (x < 181)
+                out.append(np.where(rule, 20, np.where(text, (x * y + p) % 70, 190 + (p * 7 + x * 3 + y * 5) % 50)).astype(np.uint8).tobytes())
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([RASTER_W] * n, pa.int64()), pa.array([RASTER_H] * n, pa.int64()), pa.array(out, pa.binary())], ["page_id", "w", "h", "pixels"])
+
+    return docs.where("doc_id is not null").select("doc_id").mapInArrow(draw, f"page_id {kind}, w long, h long, pixels binary")
+
+
 def lexicon(docs: DataFrame) -> DataFrame:
     """(token, cnt, total): English tokens with their counts; stands in for a word-frequency list."""
     token = F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " "))
@@ -165,6 +190,18 @@ ocr_words AS (SELECT page_id, psm, i AS word_idx, i // 60 AS block_num, (i // 30
     "ink": r"""ink AS (SELECT page_id, x, CAST(CASE WHEN x < 40 OR x >= 560 THEN 0 WHEN page_id % 3 = 0 AND x BETWEEN 295 AND 309 THEN 0 WHEN page_id % 5 = 0 AND x BETWEEN 200 AND 216 THEN 900
   WHEN page_id % 4 = 1 AND x BETWEEN 460 AND 480 THEN 0 ELSE 200 + (page_id * 7 + x * 3) % 90 END AS DOUBLE) AS ink, 600 AS w, 1000 AS h
   FROM (SELECT doc_id AS page_id, CAST(unnest(range(0, 600)) AS BIGINT) AS x FROM documents))""",
+    "raster_ink": r"""px AS (SELECT page_id, x, y, CASE WHEN page_id % 2 = 0 AND y = 24 AND x >= 20 AND x < 340 OR page_id % 5 = 0 AND x >= 178 AND x < 181 THEN 20
+  WHEN y % 10 < 6 AND (x * 7 + y * 3 + page_id) % 5 < 3 AND x >= 12 AND x < 348 AND NOT (page_id % 3 = 0 AND x >= 172 AND x < 188) THEN (x * y + page_id) % 70
+  ELSE 190 + (page_id * 7 + x * 3 + y * 5) % 50 END AS g FROM (SELECT doc_id AS page_id FROM documents), range(0, 360) xs(x), range(0, 30) ys(y)),
+shade AS (SELECT page_id, g, count(*) AS c FROM px GROUP BY ALL),
+cum AS (SELECT page_id, g, sum(c) OVER (PARTITION BY page_id ORDER BY g) AS n, sum(c * g) OVER (PARTITION BY page_id ORDER BY g) AS s,
+  sum(c) OVER (PARTITION BY page_id) AS tn, sum(c * g) OVER (PARTITION BY page_id) AS ts FROM shade),
+sp AS (SELECT page_id, g, CAST(tn * s - n * ts AS DOUBLE) * CAST(tn * s - n * ts AS DOUBLE) / CAST(n * (tn - n) AS DOUBLE) AS spread FROM cum WHERE n < tn),
+lev AS (SELECT page_id, g AS level FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY spread DESC, g) AS k FROM sp) WHERE k = 1),
+dark AS (SELECT page_id, y, x, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS run FROM px JOIN lev USING (page_id) WHERE g <= level),
+runs AS (SELECT page_id, x, count(*) OVER (PARTITION BY page_id, y, run) AS n FROM dark),
+ci AS (SELECT page_id, x, count(*) AS c FROM runs WHERE n < 40 GROUP BY ALL),
+ink AS (SELECT page_id, x, CAST(coalesce(c, 0) AS DOUBLE) AS ink, 360 AS w, 30 AS h FROM (SELECT doc_id AS page_id, CAST(unnest(range(0, 360)) AS BIGINT) AS x FROM documents) LEFT JOIN ci USING (page_id, x))""",
     "lexicon": r"""lex0 AS (SELECT unnest(string_split(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS token FROM documents WHERE lang = 'en' AND text IS NOT NULL),
 lex1 AS (SELECT token, count(*) AS cnt FROM lex0 WHERE token <> '' GROUP BY token),
 lexicon AS (SELECT token, cnt, (SELECT sum(cnt) FROM lex1) AS total FROM lex1)""",

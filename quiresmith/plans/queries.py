@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quiresmith.functions import noise
 from quiresmith.functions import text as T
-from quiresmith.operators import formatting, geometry, layout, profile, selection
+from quiresmith.operators import formatting, geometry, layout, profile, raster, selection
 from quiresmith.plans import fixtures as fx
 from quiresmith.plans.fixtures import PAGE_WIDTH, with_
 from quiresmith.sources import books as bk
@@ -243,18 +243,33 @@ def profile_gutters(s, d):
     return profile.gutters(profile.boundaries(profile.smooth(fx.ink(docs(s, d)), 5)))
 
 
-@query(
-    GUTTER
-    + """, cut AS (SELECT page_id, l AS c FROM ed WHERE l IS NOT NULL GROUP BY ALL UNION ALL SELECT page_id, r FROM ed WHERE r IS NOT NULL GROUP BY ALL UNION ALL SELECT page_id, (gs + ge) // 2 FROM gut),
+RANGES = """, cut AS (SELECT page_id, l AS c FROM ed WHERE l IS NOT NULL GROUP BY ALL UNION ALL SELECT page_id, r FROM ed WHERE r IS NOT NULL GROUP BY ALL UNION ALL SELECT page_id, (gs + ge) // 2 FROM gut),
 rg AS (SELECT page_id, c AS a, lead(c) OVER (PARTITION BY page_id ORDER BY c) AS b, count(*) OVER (PARTITION BY page_id) AS k FROM cut),
 ok AS (SELECT page_id, a, b FROM rg WHERE b IS NOT NULL AND (k = 2 OR b - a >= 120)),
 al AS (SELECT * FROM ok UNION ALL SELECT DISTINCT page_id, l, r FROM ed WHERE l IS NOT NULL AND page_id NOT IN (SELECT page_id FROM ok) UNION ALL SELECT DISTINCT page_id, 0, w FROM ed WHERE l IS NULL)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY a) - 1 AS ord, CAST(a AS BIGINT) AS x_start, CAST(b AS BIGINT) AS x_end FROM al"""
-)
+
+
+@query(GUTTER + RANGES)
 def column_ranges(s, d):
     return profile.column_ranges(profile.boundaries(profile.smooth(fx.ink(docs(s, d)), 5)))
 
 
+@query(with_("raster_ink") + "SELECT page_id, x, ink FROM ink")
+def raster_column_ink(s, d):
+    return raster.ink_profile(fx.rasters(docs(s, d))).select("page_id", "x", "ink")
+
+
+@query(with_("raster_ink") + "SELECT page_id, level FROM lev")
+def raster_level(s, d):
+    return raster.levels(fx.rasters(docs(s, d))).select("page_id", "level")
+
+
+@query(GUTTER.replace(with_("ink"), with_("raster_ink")) + RANGES)
+def raster_column_ranges(s, d):
+    return profile.column_ranges(profile.boundaries(profile.smooth(raster.ink_profile(fx.rasters(docs(s, d))))))
+
+
 @query(r"SELECT page_id, regexp_replace(regexp_replace(html, '</?[a-zA-Z][^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages")
 def strip_tags(s, d):
     return fx.table(s, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
