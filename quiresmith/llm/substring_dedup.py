@@ -4,12 +4,13 @@ Every window of `width` consecutive words gets a 64-bit Rabin-Karp hash over wor
 its bucket, which comes from a second base, so equal windows meet in one bucket and two different windows
 pass for equal only when both agree (64 bits and log2(buckets) more). A shuffle brings the hashes of a bucket
 together, packed in arrays; those that occur more than once are marked; the marks travel back to their
-documents, where marked windows merge into maximal intervals of words to remove.
+documents, where marked windows merge into maximal intervals of words to remove. Windows that repeat within a batch of
+texts are marked there, and only the first of them is sent, so a very common window reaches its bucket once a batch.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Defined cases: null and empty texts have no
 words; texts under `width` words lose nothing; a window repeated inside one document counts; rows that repeat
 an id, with the same or another text, are documents of their own; an empty table gives no rows; other columns of the input don't
-matter. One very common window is many entries of one array, never many rows.
+matter. A very common window is at most one entry a batch in one array, never many rows.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None =
             uid = (part << 32) | count
             count += 1
             key, bucket = np.concatenate(keys), np.concatenate(seconds).astype(small)
+            sent, local = once(key, bucket)
+            key, bucket = key[sent], bucket[sent]
             order = np.argsort(bucket, kind="stable")
             sizes = np.bincount(bucket, minlength=buckets)
             ends = np.cumsum(sizes)
@@ -67,22 +70,22 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None =
             has = np.flatnonzero(sizes)
             blobs = [key[ends[b] - sizes[b] : ends[b]].tobytes() for b in has]
             n = len(blobs)
-            meta = pa.array([np.array(lengths, np.int32).tobytes()], pa.binary())
             no = pa.nulls(n, pa.binary())
+            meta = [pa.concat_arrays([no, pa.array([a.tobytes()], pa.binary())]) for a in (np.array(lengths, np.int32), np.packbits(sent), np.packbits(local))]
             kind = batch.column(0).type
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.append(has, -1 - (uid * 7919 + 1) % 1_000_003).astype(np.int64)),
                     pa.array(np.full(n + 1, uid, np.int64)),
                     pa.array([*blobs, bucket.tobytes()], pa.binary()),
-                    pa.concat_arrays([no, meta]),
+                    *meta,
                     pa.array([None] * n + [batch.column(0).to_pylist()], pa.list_(kind)),
                     pa.array([None] * n + [batch.column(1).to_pylist()], pa.list_(pa.int64())),
                 ],
-                ["bucket", "uid", "blob", "lengths", "ids", "hs"],
+                ["bucket", "uid", "blob", "lengths", "sent", "local", "ids", "hs"],
             )
 
-    packed = f"bucket long, uid long, blob binary, lengths binary, ids array<{id_type}>, hs array<long>"
+    packed = f"bucket long, uid long, blob binary, lengths binary, sent binary, local binary, ids array<{id_type}>, hs array<long>"
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in groups(it, ["bucket"]):
@@ -113,10 +116,12 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None =
             order = np.argsort(bucket, kind="stable")
             sizes = np.bincount(bucket, minlength=buckets)
             ends = np.cumsum(sizes)
-            flag = np.zeros(len(bucket), bool)
+            marked = np.zeros(len(bucket), bool)
             for b, m in masks.items():
-                flag[order[ends[b] - sizes[b] : ends[b]]] = np.unpackbits(m, count=sizes[b])
+                marked[order[ends[b] - sizes[b] : ends[b]]] = np.unpackbits(m, count=sizes[b])
             lengths = np.frombuffer(info.column("lengths")[0].as_buffer(), np.int32)
+            sent, flag = (np.unpackbits(np.frombuffer(info.column(c)[0].as_buffer(), np.uint8), count=lengths.sum()).astype(bool) for c in ("sent", "local"))
+            flag[sent] |= marked
             ids, hs = info.column("ids")[0].as_py(), info.column("hs")[0].as_py()
             out = [], [], []
             at = 0
@@ -136,6 +141,18 @@ def removal_intervals(docs: DataFrame, width: int = WIDTH, buckets: int | None =
     return marked.mapInArrow(tidy(merge), f"id {id_type}, h long, cuts binary").distinct()
 
 
+def once(key: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch's windows: which are sent (one of each), and which occur more than once here."""
+    order = np.argsort(key)
+    k, b = key[order], bucket[order]
+    again = np.zeros(len(k) + 1, bool)
+    again[1:-1] = (k[1:] == k[:-1]) & (b[1:] == b[:-1])
+    sent, local = np.empty(len(k), bool), np.empty(len(k), bool)
+    sent[order] = ~again[:-1]
+    local[order] = again[:-1] | again[1:]
+    return sent, local
+
+
 def intervals(flag: np.ndarray, width: int) -> np.ndarray:
     """Maximal intervals [start, end) of what the flagged windows cover, as an array of pairs."""
     step = np.zeros(len(flag) + width + 1, np.int32)
