@@ -164,11 +164,11 @@ def intervals(flag: np.ndarray, width: int) -> np.ndarray:
     return edge.astype(np.int32)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, with_text: bool = True, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Rows (id, n_words, n_removed, cuts, kept_sha256[, kept]) of every document; kept: remaining words joined by a space."""
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     id_type = narrow.schema["id"].dataType.simpleString()
-    cuts = removal_intervals(narrow, width, buckets).select(F.col("id").alias("cut_id"), F.col("h").alias("cut_h"), "cuts")
+    cuts = removal_intervals(narrow, width, buckets, batch_bytes).select(F.col("id").alias("cut_id"), F.col("h").alias("cut_h"), "cuts")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):

@@ -9,7 +9,8 @@ corpus is cut into small pieces that can be compared alone, without loss:
    among those of one anchor string. Windows that follow each other mostly share theirs: an anchor with its run of
    windows is a context of some 130 bytes.
 2. A shuffle of packed hashes finds anchors that occur once (nothing repeats there), contexts that equal an
-   earlier one (all of it goes), and first contexts of an anchor that has several; only those move as text.
+   earlier one (all of it goes), and first contexts of an anchor that has several; only those move as text. Copies
+   within a batch of texts are told there, and the earliest alone is sent: a hot context is one entry a batch.
 3. The contexts of an anchor are joined, each ended by a mark of its own, and their suffix array is built by
    linear grouping (see suffix_array). Windows that are neighbours in it and agree in LENGTH bytes are equal; all
    but the earliest go.
@@ -94,6 +95,18 @@ def judge(key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarr
     return out
 
 
+def earliest(key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch's anchors: which are the earliest of an equal context, and which of these have copies in the batch."""
+    order = np.lexsort((doc, context, key) if place is None else (place, doc, context, key))  # stable
+    k, c = key[order], context[order]
+    new = np.ones(len(k) + 1, bool)
+    new[1:-1] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    sent, several = np.empty(len(k), bool), np.empty(len(k), bool)
+    sent[order] = new[:-1]
+    several[order] = new[:-1] & ~new[1:]
+    return sent, several
+
+
 def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: int, windows: bool = False) -> DataFrame:
     """(id, h, start, states) of the rows (id, h, start, text) that have an anchor found elsewhere; one byte an anchor.
 
@@ -116,16 +129,18 @@ def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: i
                 continue
             ids = np.array([-(1 << 63) if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             key, context, doc = np.concatenate([f[0] for f in found]), np.concatenate([f[4] for f in found]), np.repeat(ids, sizes)
-            spread = mix(key)
-            bucket = (spread >> shift).astype(small)
+            entries = [key, context, doc]
+            if windows:
+                start = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+                entries.append(np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))
+            sent, several = earliest(*entries)
+            entries = [x[sent] for x in entries]
+            bucket = (mix(entries[0]) >> shift).astype(small)
             order = np.argsort(bucket, kind="stable")
             n = np.bincount(bucket, minlength=buckets)
             ends, has = np.cumsum(n), np.flatnonzero(n)
-            sent = [key[order], context[order], doc[order]]
-            if windows:
-                start = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-                sent.append((np.repeat(start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))[order])
-            blobs = [b"".join(x[ends[b] - n[b] : ends[b]].tobytes() for x in sent) for b in has]
+            entries = [x[order] for x in entries]
+            blobs = [b"".join(x[ends[b] - n[b] : ends[b]].tobytes() for x in entries) for b in has]
             uid = (part << 32) | count
             count += 1
             yield pa.RecordBatch.from_arrays(
@@ -133,15 +148,17 @@ def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: i
                     pa.array(np.append(has, -1 - (uid * 7919) % 1_000_003).astype(np.int64)),
                     pa.array(np.full(len(has) + 1, uid, np.int64)),
                     pa.array([*blobs, bucket.tobytes()], pa.binary()),
+                    pa.array([None] * len(has) + [np.packbits(sent).tobytes()], pa.binary()),
+                    pa.array([None] * len(has) + [np.packbits(several).tobytes()], pa.binary()),
                     pa.array([None] * len(has) + [sizes.tolist()], pa.list_(pa.int64())),
                     pa.array([None] * len(has) + [batch.column(0).to_pylist()], pa.list_(pa.int64())),
                     pa.array([None] * len(has) + [batch.column(1).to_pylist()], pa.list_(pa.int64())),
                     pa.array([None] * len(has) + [batch.column(3).to_pylist()], pa.list_(pa.int32())),
                 ],
-                ["bucket", "uid", "blob", "sizes", "ids", "hs", "starts"],
+                ["bucket", "uid", "blob", "sent", "several", "sizes", "ids", "hs", "starts"],
             )
 
-    packed = "bucket long, uid long, blob binary, sizes array<long>, ids array<long>, hs array<long>, starts array<int>"
+    packed = "bucket long, uid long, blob binary, sent binary, several binary, sizes array<long>, ids array<long>, hs array<long>, starts array<int>"
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in groups(it, ["bucket"]):
@@ -157,9 +174,14 @@ def states(docs: DataFrame, length: int, gram: int, buckets: int, batch_bytes: i
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(it, ["uid"]):
             bucket = np.frombuffer(rows.column("blob")[0].as_buffer(), small)  # the row of the batch itself is first
-            state = np.empty(len(bucket), np.uint8)
             got = [np.frombuffer(b.as_buffer(), np.uint8) for b in rows.column("blob").slice(1)]
-            state[np.argsort(bucket, kind="stable")] = np.concatenate(got)
+            judged = np.empty(len(bucket), np.uint8)
+            judged[np.argsort(bucket, kind="stable")] = np.concatenate(got)
+            total = sum(rows.column("sizes")[0].as_py())
+            sent, several = (np.unpackbits(np.frombuffer(rows.column(c)[0].as_buffer(), np.uint8), count=total).astype(bool) for c in ("sent", "several"))
+            state = np.full(total, COPY, np.uint8)
+            state[sent] = judged
+            state[several & (state == SINGLE)] = ALONE
             out, at = ([], [], [], []), 0
             for i, h, a, n in zip(*(rows.column(c)[0].as_py() for c in ("ids", "hs", "starts", "sizes")), strict=True):
                 s = state[at : at + n]

@@ -206,12 +206,12 @@ def test_suffix_arrays():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("most", [256, 2])
-def test_byte_dedup(docs, most):
+@pytest.mark.parametrize("most,batch", [(256, 8 << 20), (2, 8 << 20), (256, 150), (2, 150)])
+def test_byte_dedup(docs, most, batch):
     rows = sample_texts()
     want = brute_bytes(rows, 20)
     texts = {i: t or "" for i, t, _ in rows}
-    got = suffix_dedup.remove_repeats(docs, length=20, gram=8, most=most).collect()
+    got = suffix_dedup.remove_repeats(docs, length=20, gram=8, most=most, batch_bytes=batch).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.id, texts[r.id]], r.id
@@ -243,8 +243,8 @@ def test_bpe_equals_tiktoken(spark, docs, nothing):
     assert bpe.encode_documents(nothing, path, P.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("buckets", [None, 512])
-def test_word_windows(docs, nothing, buckets):
+@pytest.mark.parametrize("buckets,batch", [(None, 8 << 20), (512, 8 << 20), (None, 150)])
+def test_word_windows(docs, nothing, buckets, batch):
     import re
 
     rows = sample_texts()
@@ -259,7 +259,7 @@ def test_word_windows(docs, nothing, buckets):
         w = split(t)
         gone = {p for k in range(len(w) - 6) if count[tuple(w[k : k + 7])] > 1 for p in range(k, k + 7)}
         want.append((i is not None, i or 0, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
-    assert by_id(substring_dedup.remove_repeats(docs, width=7, buckets=buckets), "n_words", "n_removed", "kept") == sorted(want, key=str)
+    assert by_id(substring_dedup.remove_repeats(docs, width=7, buckets=buckets, batch_bytes=batch), "n_words", "n_removed", "kept") == sorted(want, key=str)
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
