@@ -67,11 +67,24 @@ def math_to_text(c: Column) -> Column:
     return F.when(F.instr(c, "<math>") > 0, F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(c)
 
 
+#: The named signs of HTML, the ampersand last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
 def strip_tags(c: Column) -> Column:
     """Without tags; blank gives the empty text."""
     return strip(F.regexp_replace(c, r"</?[a-zA-Z][^>]*>", ""))
 
 
+def element_text(c: Column) -> Column:
+    """Texts between tags, stripped, one a line; comments, scripts and styles have none. Null and blank give the empty text."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "<b>")
+    out = F.array_join(F.filter(F.transform(F.split(plain, r"</?[a-zA-Z][^>]*>", -1), strip), lambda t: t != ""), "\n")
+    for name, sign in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out
+
+
 def each_match(c: Column, pattern: str, f) -> Column:
     """c with f of every match of pattern in its place, in one pass from left to right."""
     parts, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))

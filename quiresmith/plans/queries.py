@@ -275,6 +275,22 @@ def strip_tags(s, d):
     return fx.table(s, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
 
 
+ELEMENT_TEXT = r"""array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '<b>', 'g'), '</?[a-zA-Z][^>]*>'),
+  lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: t <> ''), chr(10))"""
+for _name, _sign in T.ENTITIES:
+    ELEMENT_TEXT = f"replace({ELEMENT_TEXT}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT page_id, {ELEMENT_TEXT} AS text FROM pages")
+def element_text(s, d):
+    return fx.table(s, d, "pages").select("page_id", T.element_text(F.col("html")).alias("text"))
+
+
+@query(with_("ocr_lines") + "SELECT page_id, 'surya/' || count(*) || 'lines' AS mode FROM ocr_lines WHERE trim(text) <> '' GROUP BY page_id")
+def lines_mode(s, d):
+    return selection.clean_lines(lines(s, d)).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", layout.lines_label(F.col("n")).alias("mode"))
+
+
 # matches of a mixed fraction and what stands between them; of each match the digit and the glyph, or itself
 FRACTION_MAP = "map {" + ", ".join(f"'{n}/{d}': '{g}'" for (n, d), g in T.FRACTIONS.items() if d < 10) + "}"
 MIXED = rf"""array_to_string(list_transform(list_zip(string_split_regex({{0}}, '\d\d[⁄/]\d'), regexp_extract_all({{0}}, '\d\d[⁄/]\d')),
