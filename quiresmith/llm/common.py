@@ -80,15 +80,23 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def move(spark: SparkSession, path: str, to: str) -> bool:
-    """Rename a folder; false if there is none."""
+    """Rename a folder, into a folder that is made if need be; false if there is none."""
     store, there = _hadoop(spark, path)
     if not store.exists(there):
         return False
-    if not store.rename(there, _hadoop(spark, to)[1]):
+    goal = _hadoop(spark, to)[1]
+    store.mkdirs(goal.getParent())
+    if not store.rename(there, goal):
         raise OSError(f"{path} can't be renamed to {to}")
     return True
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    store, there = _hadoop(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(there)]
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_quire_path", None)

@@ -2,7 +2,8 @@
 
 Layout of a store, three folders of Parquet files:
 
-- chunks    (digest binary, n long, data binary): every distinct chunk once; digest is the BLAKE2b-128 of the
+- chunks    (digest binary, n long, data binary): every distinct chunk once, in a folder buckets=N as files of N
+            buckets by Spark's hash of the digest, so a reader joins them where they lie; digest is the BLAKE2b-128 of the
             ids as little-endian unsigned 32-bit integers; data holds the bytes of an id (2 where all ids of the chunk
             are under 65,536, else 4), then the ids in planes of their bytes, compressed by zstd.
 - recipes   (part int, doc_id, start long, n_tokens long, root binary, digests array<binary>): one row a
@@ -20,6 +21,7 @@ sorts first; an empty table gives a store without rows; other columns of the inp
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
@@ -29,12 +31,13 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, batches, collect_garbage, discard, groups, materialise, mix, move, partitions_for, remove, rolling, shared_dir, table, tidy
+from .common import HOT_SHARE, batches, collect_garbage, discard, groups, materialise, mix, move, names_in, partitions_for, remove, rolling, shared_dir, table, tidy
 
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Words that a worker keeps with their ids (speed only).
@@ -86,14 +89,18 @@ _COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1, write_checksum=False)
 
 def pack(raw: bytes) -> bytes:
     """Ids as little-endian unsigned 32-bit integers, in short."""
-    ids = np.frombuffer(raw, "<u4")
-    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return bytes([width]) + _COMPRESS.compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+    planes = [raw[k::4] for k in range(4)]
+    width = 4 if planes[2].strip(b"\0") or planes[3].strip(b"\0") else 2
+    return bytes([width]) + _COMPRESS.compress(b"".join(planes[:width]))
 
 
 def unpack(data: bytes) -> bytes:
-    width = data[0]
-    return np.frombuffer(np.frombuffer(_DECOMPRESS.decompress(data[1:]), np.uint8).reshape(width, -1).T.tobytes(), f"<u{width}").astype("<u4").tobytes()
+    planes, width = _DECOMPRESS.decompress(data[1:]), data[0]
+    n = len(planes) // width
+    raw = bytearray(4 * n)
+    for k in range(width):
+        raw[k::4] = planes[k * n : (k + 1) * n]
+    return bytes(raw)
 
 
 def lowered(t: str, added: tuple[str, ...] = ()) -> str | None:
@@ -187,9 +194,10 @@ class WordEncoder:
                 parts.append((w, PIECES.findall(w)))
             else:
                 rest.append(w)
-        new = {*(w[:-1] for w in stopped), *(w[-1] for w in stopped)}.union(plain, *(p for _, p in parts))
-        new.difference_update(kept)
-        order = list(new)
+        new = {*plain, *(w[-1] for w in stopped), *(w[:-1] for w in stopped)}
+        for _, pieces in parts:
+            new.update(pieces)
+        order = [p for p in new if p not in kept]
         for at in range(0, len(order), 1024):
             kept.update(zip(order[at : at + 1024], self._together(order[at : at + 1024]), strict=True))
         for w in stopped:
@@ -200,19 +208,27 @@ class WordEncoder:
         for at in range(0, len(rest), 4096):
             kept.update(zip(rest[at : at + 4096], self._each(rest[at : at + 4096]), strict=True))
 
+    def _joined(self, texts: list[str], easy: bool) -> list[bytes]:
+        """Ids of texts, of lowered ones if easy: words are told apart by Arrow, each distinct one is looked up once."""
+        lists = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self._learn({w for w in words if w not in self.kept}, easy)
+        each = [self.kept[w] for w in words]
+        ids, sizes = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ends = np.cumsum(n)
+        raw = ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = (4 * np.insert(ends, 0, 0)[lists.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        split, new, hard = [], set(), set()
-        for t in texts:
-            low = lowered(t, self.added)
-            words = (t if low is None else low).replace("\n", " ").split(" ")
-            split.append(words)
-            (hard if low is None else new).update(words)
-        self._learn(new.difference(self.kept), True)
-        self._learn(hard.difference(self.kept), False)
-        get = self.kept.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        low = [lowered(t, self.added) for t in texts]
+        easy = iter(self._joined([t for t in low if t is not None], True))
+        hard = iter(self._joined([t for t, x in zip(texts, low, strict=True) if x is None], False))
+        return [next(hard if x is None else easy) for x in low]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -265,10 +281,13 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: st
             of.kept.clear()
 
     schema = f"digest binary, n long, data binary, doc_id {kind}, digests array<binary>, root binary"
-    rows = narrow.mapInArrow(tidy(encode), f"what string, {schema}")
+    n_buckets = partitions_for(spark, narrow)
+    rows = narrow.mapInArrow(tidy(encode), f"what string, {schema}").repartition(n_buckets, "digest")
     once = rows.groupBy("what", "digest").agg(*(F.first(c).alias(c) for c in ("n", "data", "doc_id", "digests", "root")))
-    once.write.partitionBy("what").option("compression", "uncompressed").parquet(f"{to}/draft")
-    if not move(spark, f"{to}/draft/what=chunks", f"{to}/chunks"):  # no documents
+    name = f"draft_{uuid.uuid4().hex}"  # only tables can be written in buckets; its files stay when it goes
+    once.write.partitionBy("what").bucketBy(n_buckets, "digest").format("parquet").option("compression", "uncompressed").option("path", f"{to}/draft").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    if not move(spark, f"{to}/draft/what=chunks", f"{to}/chunks/buckets={n_buckets}"):  # no documents
         spark.createDataFrame([], schema).write.parquet(f"{to}/chunks")
     coded = spark.read.schema(f"{schema}, what string").parquet(f"{to}/draft").select("doc_id", F.col("n").alias("n_tokens"), "digests", "root")
     collect_garbage(spark)
@@ -287,6 +306,7 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: st
     manifest(spark.read.parquet(f"{to}/recipes")).write.parquet(f"{to}/manifest")
     remove(spark, f"{to}/draft")
     discard(numbered)
+    collect_garbage(spark)  # the encoder's shuffle, if something still held it before
 
 
 def leaf(doc_id, start: int, n_tokens: int, root: bytes) -> bytes:
@@ -328,8 +348,8 @@ def read_store(spark: SparkSession, at: str) -> DataFrame:
     """Documents of a store: (doc_id, start, n_tokens, ids binary), ids as little-endian unsigned 32-bit integers.
 
     The manifest is computed anew from the recipes and compared before anything is returned; every chunk's
-    digest, every document's root and count as they are read; a difference raises. Recipes meet chunks by a
-    join on the digest, then the chunks of a document meet.
+    digest, every document's root and count as they are read; a difference raises. Recipes go to the buckets of the
+    chunks they name, then the chunks of a document meet; chunks that aren't in buckets are dealt out first.
     """
     recipes = spark.read.parquet(f"{at}/recipes")
     check_manifest(recipes, spark.read.parquet(f"{at}/manifest"))
@@ -337,27 +357,54 @@ def read_store(spark: SparkSession, at: str) -> DataFrame:
     kind = recipes.schema["doc_id"].dataType.simpleString()
     tasks = partitions_for(spark, chunks, 16)
     wanted = recipes.select("start", F.posexplode("digests").alias("pos", "digest"))
-    found = join_chunks(wanted, chunks)
+    n_buckets = buckets_of(spark, at)
+    found = join_chunks(wanted, chunks, bucketed(spark, at, n_buckets) if n_buckets else None, n_buckets)
     heads = recipes.select("start", "doc_id", "n_tokens", "root")
     rows = heads.select("start", F.lit(-1).alias("pos"), F.col("root").alias("digest"), F.lit(None).cast("binary").alias("data"), "doc_id", "n_tokens")
     rows = rows.unionByName(found.select("start", "pos", "digest", "data", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens")))
     return rows.repartition(tasks, "start").sortWithinPartitions("start", "pos").mapInArrow(tidy(_rebuild), f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
-def join_chunks(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+def buckets_of(spark: SparkSession, at: str) -> int:
+    """How many buckets the chunks of a store lie in; 0 if they are plain files."""
+    found = [re.fullmatch(r"buckets=(\d+)", name) for name in names_in(spark, f"{at}/chunks") if name[0] not in "._"]
+    return int(found[0][1]) if len(found) == 1 and found[0] else 0
+
+
+def bucketed(spark: SparkSession, at: str, n_buckets: int) -> DataFrame:
+    """Digests and data of a store's chunks, which Spark knows to lie in buckets: a join on the digest moves none of them."""
+    name = f"chunks_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (digest BINARY, data BINARY) USING parquet CLUSTERED BY (digest) INTO {n_buckets} BUCKETS LOCATION '{at}/chunks/buckets={n_buckets}'")
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the files stay, and the table read has them
+
+
+def join_chunks(wanted: DataFrame, chunks: DataFrame, lying: DataFrame | None = None, n_buckets: int = 0) -> DataFrame:
     """wanted (start, pos, digest) with the data of each digest, null where it is missing.
 
-    A chunk that very many documents hold goes to several tasks, each with some of them. Those chunks are under
-    1 / HOT_SHARE, as each has more than that share of all uses, so their list is broadcast.
+    lying: the chunks again, as a table of n_buckets buckets. Uses go to their chunks there. A chunk that very many
+    documents hold goes to several tasks, each with some of its uses. Those chunks are under 1 / HOT_SHARE, as each
+    has more than that share of all uses, so their list is broadcast.
     """
     uses = wanted.groupBy("digest").agg(F.count("*").alias("uses"))
     total = wanted.agg(F.count("*")).first()[0]
     most = max(HOT_USES, int(total * HOT_SHARE))
     hot = uses.where(F.col("uses") > most).select("digest", F.ceil(F.col("uses") / most).cast("int").alias("parts"))
+    if lying is not None:
+        any_hot = not hot.isEmpty()
+        cold = wanted.join(F.broadcast(hot), "digest", "left_anti") if any_hot else wanted
+        # the uses, which are small, are hashed; the chunks stream by unsorted
+        cold = cold.repartition(n_buckets, "digest").hint("shuffle_hash").join(lying, "digest", "left")
+        if not any_hot:
+            return cold
+        wanted, chunks = wanted.join(F.broadcast(hot.select("digest")), "digest", "left_semi"), chunks.join(F.broadcast(hot.select("digest")), "digest", "left_semi")
     parts = F.coalesce("parts", F.lit(1))
     left = wanted.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("start", "pos"), parts).cast("int")).drop("parts")
     right = chunks.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return left.join(right, ["digest", "salt"], "left").drop("salt")
+    found = left.join(right, ["digest", "salt"], "left").drop("salt")
+    return found if lying is None else cold.unionByName(found)
 
 
 def _rebuild(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -405,6 +405,24 @@ def test_token_store_is_held_to_its_manifest(spark, docs, tmp_path):
             token_store.read_store(spark, copy)
 
 
+def test_token_store_joins_chunks_where_they_lie(spark, docs, tmp_path, monkeypatch):
+    to = str(tmp_path / "store")
+    token_store.write_store(docs, to, P.path("word_bpe_49k.json"))
+    want = sorted(map(tuple, token_store.read_store(spark, to).collect()), key=lambda r: r[1])
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = token_store.read_store(spark, to)._jdf.queryExecution().executedPlan().toString()
+        data = next(x for x in plan.splitlines() if "FileScan" in x and "data#" in x)
+        assert "Bucketed: true" in data and "Bucketed: false" not in data
+        for hot in (3, 10**6):  # chunks used more often are dealt to several tasks
+            monkeypatch.setattr(token_store, "HOT_USES", hot)
+            assert sorted(map(tuple, token_store.read_store(spark, to).collect()), key=lambda r: r[1]) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("draft_", "chunks_"))]
+
+
 def test_token_store_tells_added_tokens_by_case():
     from tokenizers import Tokenizer
 
