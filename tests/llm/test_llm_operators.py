@@ -182,6 +182,48 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def close_vectors(n, d, seed, labels=3):
+    """Vectors of which a third are near others, some very near."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) / np.sqrt(d)
+    for k in range(1, n, 3):
+        x[k] = x[rng.integers(0, k)] + rng.normal(size=d) * rng.choice([0.003, 0.02, 0.025, 0.03]) * 8 / d
+    x = x.astype(np.float32)
+    return [(k, v.tolist(), int(label)) for k, (v, label) in enumerate(zip(x, np.arange(n) // 7 % labels, strict=True))], x.astype(np.float64)
+
+
+def test_embeddings_travel_as_codes(spark):
+    rows, _ = close_vectors(4000, 64, 3, 1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert embedding_dedup.near_duplicates(df).count() == 4000
+    assert written() - before < 4 * 4000 * 64 * 4
+
+
+def test_embeddings_by_slabs_and_parts(spark):
+    for d, cosine, cell in ((65, 0.98, 20), (20, 0.995, 20), (3, 0.999, 1000)):
+        rows, x = close_vectors(240, d, d)
+        u = x / np.sqrt((x * x).sum(1, keepdims=True))
+        label = np.array([r[2] for r in rows])
+        want = ((u @ u.T >= cosine) & (label[:, None] == label)).sum(1) - 1
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        got = {r.id: r.n_links for r in embedding_dedup.near_duplicates(df, cosine=cosine, cell=cell, tile=16).collect()}
+        assert [got[k] for k in range(240)] == want.tolist(), d
+
+
+def test_near_codes_are_all_found():
+    rng = np.random.default_rng(8)
+    for n, w in ((2, 8), (70, 8), (3000, 8), (3000, 2), (1500, 1)):
+        code = np.clip(np.rint(rng.normal(size=(n, w)) * 35), -127, 127).astype(np.int8)
+        code[: n // 10] = code[n // 2 : n // 2 + n // 10] + 1
+        far = ((code[:, None].astype(np.int32) - code) ** 2).sum(-1)
+        for near in (3.5, 31.0):
+            got = [np.stack(x) for x in embedding_dedup._near(code, w, near)]
+            pairs = {tuple(sorted(p)) for p in np.concatenate(got, axis=1).T.tolist()}
+            assert pairs == {(a, b) for a, b in np.argwhere(far <= near * near).tolist() if a < b}
+
+
 def brute_bytes(rows, length):
     seen, out = set(), {}
     order = sorted({(i is not None, i or 0, t or "") for i, t, _ in rows})
