@@ -42,10 +42,14 @@ from .common import HOT_SHARE, batches, collect_garbage, discard, groups, materi
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
 #: Words that a worker keeps with their ids (speed only).
 KEPT_WORDS = 700_000
+#: New words that the library gets in one call.
+TOGETHER = 512
 #: Uses of a chunk that meet in one task, at least.
 HOT_USES = 4096
 #: Marks that the pre-tokenizer cuts off a word of letters before them.
 STOPS = frozenset(".,;:!?")
+#: Words of ASCII letters with one such mark or none, and those with one, for Arrow.
+PLAIN, STOPPED = r"^[a-z]+[.,;:!?]?$", r"[.,;:!?]$"
 #: What the pre-tokenizer takes for one piece each, of a word in lower-case ASCII.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
@@ -139,14 +143,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(bare))
-        self.kept: dict[str, bytes] = {}
+        self.forget()
         self.added = tuple(a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.bytes_as = byte_letters()
+        self.spelled = np.array([ord(" ") if b == 32 else ord(c) for b, c in sorted(byte_letters().items())], "<u4")
         self.letters: set[str] = set("abcdefghijklmnopqrstuvwxyz")
         self.others: set[str] = set()
 
@@ -161,70 +165,87 @@ class WordEncoder:
                 return False
         return unicodedata.is_normalized("NFC", w)
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _together(self, texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words by the model, and how many each has; texts: runs of pieces with spaces between, counts: pieces a word.
 
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces by the model, all in one call, cut at ends of words.
-
-        Where the number of ends isn't that of the pieces, they are encoded one by one instead.
+        Null where the number of ends isn't that of the pieces.
+        """
+        got = []
+        for t in texts:
+            spelled = t if t.isascii() else self.spelled[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            got.append(np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate([np.empty(0, "<u4"), *got])
+        ends = np.append(0, np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
+        if len(ends) != counts.sum() + 1 or ends[-1] != len(ids):
+            return None
+        return ids, np.diff(ends[np.cumsum(counts)], prepend=0)
+
+    def _learn(self, words: pa.LargeStringArray, easy: bool) -> np.ndarray:
+        """Keep the ids of words, of lowered texts if easy: from their pieces where these are plain, else by the whole tokenizer.
+
+        Returns where each is kept.
         """
-        spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes_as) for p in pieces]
-        ids = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-        if len(ends) != len(pieces) or len(ends) and ends[-1] != len(ids):
-            return self._each(pieces)
-        raw, at, out = ids.tobytes(), 0, []
-        for e in (4 * ends).tolist():
-            out.append(raw[at:e])
-            at = e
-        return out
-
-    def _learn(self, words: set[str], easy: bool) -> None:
-        """Keep the ids of words, of lowered texts if easy: from their pieces where these are plain, else by the whole tokenizer."""
-        kept = self.kept
-        plain, stopped, parts, rest = [], [], [], []
-        for w in words if easy else ():
-            ascii_ = w.isascii()
-            if w.isalpha():
-                (plain if ascii_ or self._lettered(w) else rest).append(w)
-            elif w[-1:] in STOPS and w[:-1].isalpha() and (ascii_ or self._lettered(w[:-1])):
-                stopped.append(w)
-            elif ascii_ and w.isprintable():
-                parts.append((w, PIECES.findall(w)))
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) if easy else np.zeros(len(words), bool)
+        parts: list[tuple[int, list[str]]] = []
+        rest: list[int] = []
+        others = words.filter(pa.array(~plain)).to_pylist()
+        for k, w in enumerate(others):
+            if easy and w.isascii():
+                parts.append((k, PIECES.findall(w))) if w.isprintable() else rest.append(k)
+            elif easy and w.isalpha() and self._lettered(w):
+                parts.append((k, [w]))
+            elif easy and w[-1:] in STOPS and w[:-1].isalpha() and self._lettered(w[:-1]):
+                parts.append((k, [w[:-1], w[-1]]))
             else:
-                rest.append(w)
-        new = {*plain, *(w[-1] for w in stopped), *(w[:-1] for w in stopped)}
-        for _, pieces in parts:
-            new.update(pieces)
-        order = [p for p in new if p not in kept]
-        for at in range(0, len(order), 1024):
-            kept.update(zip(order[at : at + 1024], self._together(order[at : at + 1024]), strict=True))
-        for w in stopped:
-            kept[w] = kept[w[:-1]] + kept[w[-1]]
-        for w, pieces in parts:
-            kept[w] = b"".join([kept[p] for p in pieces])
-        rest = rest if easy else list(words)
-        for at in range(0, len(rest), 4096):
-            kept.update(zip(rest[at : at + 4096], self._each(rest[at : at + 4096]), strict=True))
+                rest.append(k)
+        some = words.filter(pa.array(plain))
+        runs = pa.ListArray.from_arrays(pa.array([*range(0, len(some), TOGETHER), len(some)], pa.int32()), some)
+        texts = []
+        for t in pc.binary_join(runs, pa.scalar(" ", pa.large_string())).to_pylist():
+            for c in STOPS:  # at ends of words only
+                t = t.replace(c, f" {c}")
+            texts.append(t)
+        counts = 1 + pc.match_substring_regex(some, STOPPED).to_numpy(zero_copy_only=False).astype(np.int64)
+        joined = [" ".join(x) for _, x in parts]
+        texts += [" ".join(joined[a : a + TOGETHER]) for a in range(0, len(joined), TOGETHER)]
+        counts = np.concatenate([counts, np.array([len(x) for _, x in parts], np.int64)])
+        at = np.flatnonzero(~plain)
+        order = np.concatenate([np.flatnonzero(plain), at[[k for k, _ in parts]], at[rest]]).astype(np.int64)
+        got = self._together(texts, counts)
+        if got is None:
+            got, rest = (np.empty(0, "<u4"), np.empty(0, np.int64)), words.take(pa.array(order)).to_pylist()
+        else:
+            rest = [others[k] for k in rest]
+        whole = [np.array(e.ids, "<u4") for a in range(0, len(rest), 4096) for e in self.tokenizer.encode_batch_fast(rest[a : a + 4096], add_special_tokens=False)]
+        ids, sizes = np.concatenate([got[0], *whole]), np.append(got[1], [len(x) for x in whole]).astype(np.int64)
+        where = np.empty(len(words), np.int64)
+        where[order] = len(self.words) + np.arange(len(words))
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
+        self.ids, self.bounds = np.concatenate([self.ids, ids]), np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        return where
 
     def _joined(self, texts: list[str], easy: bool) -> list[bytes]:
         """Ids of texts, of lowered ones if easy: words are told apart by Arrow, each distinct one is looked up once."""
         lists = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        words, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        self._learn({w for w in words if w not in self.kept}, easy)
-        each = [self.kept[w] for w in words]
-        ids, sizes = np.frombuffer(b"".join(each), "<u4"), np.fromiter(map(len, each), np.int64, len(each)) // 4
-        starts, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        at = pc.index_in(coded.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = at < 0
+        if new.any():
+            at[new] = self._learn(coded.dictionary.filter(pa.array(new)), easy)
+        which = at[coded.indices.to_numpy()]
+        starts, n = self.bounds[which], self.bounds[which + 1] - self.bounds[which]
         ends = np.cumsum(n)
-        raw = ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        raw = self.ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         cuts = (4 * np.insert(ends, 0, 0)[lists.offsets.to_numpy()]).tolist()
         return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
+    def forget(self) -> None:
+        """Drop the words kept."""
+        self.words, self.ids, self.bounds = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+        if len(self.words) > KEPT_WORDS:
+            self.forget()
         low = [lowered(t, self.added) for t in texts]
         easy = iter(self._joined([t for t in low if t is not None], True))
         hard = iter(self._joined([t for t, x in zip(texts, low, strict=True) if x is None], False))
@@ -278,7 +299,7 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: st
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["what", "digest", "n", "data", "doc_id", "digests", "root"])
         finally:
-            of.kept.clear()
+            of.forget()
 
     schema = f"digest binary, n long, data binary, doc_id {kind}, digests array<binary>, root binary"
     n_buckets = partitions_for(spark, narrow)

@@ -476,6 +476,38 @@ def test_token_store_tells_added_tokens_by_case():
                 assert np.frombuffer(encode([t, "X Y", t])[2], "<u4").tolist() == known.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_encoder_over_batches():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(12)
+    known, encode, lame = Tokenizer.from_file(path), token_store.WordEncoder(path), token_store.WordEncoder(path)
+    lame.ends[:] = False  # ends of words that don't add up: the whole tokenizer steps in
+    odd = ["", " ", "x.", "x..", "it's", "don't,", "é!", "naïve?", "été..", "3rd", "a1b2", "&&&", "a\tb", "\x00", "\xa0b", "ß;", "日本。", "e\u0301", "Σας", "İ.", "<|x|>", "a,b", "!", "."]
+    for _ in range(30):
+        texts = [rng.choice([" ", "\n"]).join(rng.choices([*odd, *("".join(rng.choices("aeinostr", k=rng.randint(1, 4))) + rng.choice(["", ".", ","]) for _ in range(20))], k=rng.randint(0, 30))) for _ in range(20)]
+        want = [known.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+        assert [np.frombuffer(x, "<u4").tolist() for x in lame(texts)] == want
+    encode.forget()
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+
+
+def test_word_encoder_keeps_no_object_for_each_word():
+    """Objects for each word cost the time of op9: words lie all over memory and every look at one waits for it."""
+    import tracemalloc
+
+    rng, encode = random.Random(13), token_store.WordEncoder(P.path("word_bpe_49k.json"))
+    words = list({"".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=8)) for _ in range(30_000)})
+    texts = [" ".join(words[a : a + 300]) for a in range(0, len(words), 300)]
+    encode(["a b"])
+    tracemalloc.start()
+    try:
+        encode(texts)
+        assert tracemalloc.get_traced_memory()[0] < 64 * len(words)
+    finally:
+        tracemalloc.stop()
+
+
 def test_ngram_join(spark, nothing):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(400)]
