@@ -11,7 +11,7 @@ Layout of a store, three folders of Parquet files:
 - manifest  (part int, first_id, last_id, n_docs long, n_tokens long, start long, root binary): one row a file
             of recipes; root is the Merkle root over its documents, each with id, start, count and root.
 
-A document's ids are cut where a rolling hash of the last `WINDOW` ids has its low bits zero, so equal
+A document's ids are cut where a rolling hash of the last `WINDOW` ids has its high bits zero, so equal
 passages give equal chunks wherever they stand. Chunks and documents leave the encoder together and are dealt in
 one shuffle, chunks by digest, so texts are encoded once and ids are written once.
 
@@ -37,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, batches, collect_garbage, discard, groups, materialise, mix, move, names_in, partitions_for, remove, rolling, shared_dir, table, tidy
+from .common import HOT_SHARE, batches, collect_garbage, discard, groups, materialise, mix, move, names_in, partitions_for, remove, shared_dir, table, tidy
 
 WINDOW, MEAN, LEAST, MOST = 16, 1024, 256, 8192
-#: Words that a worker keeps with their ids (speed only).
+#: Words that a worker keeps with their ids, from task to task of a run (speed only).
 KEPT_WORDS = 700_000
 #: New words that the library gets in one call.
 TOGETHER = 512
@@ -48,20 +48,30 @@ TOGETHER = 512
 HOT_USES = 4096
 #: Marks that the pre-tokenizer cuts off a word of letters before them.
 STOPS = frozenset(".,;:!?")
-#: Words of ASCII letters with one such mark or none, and those with one, for Arrow.
-PLAIN, STOPPED = r"^[a-z]+[.,;:!?]?$", r"[.,;:!?]$"
+#: Words of ASCII letters, for Arrow.
+PLAIN = r"^[a-z]+$"
 #: What the pre-tokenizer takes for one piece each, of a word in lower-case ASCII.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
+def cuts_in(ids: np.ndarray) -> np.ndarray:
+    """Where a stream of ids may be cut: ends of windows whose hash has its high bits zero."""
+    h = (ids + np.uint32(1)) * np.uint32(0x9E3779B1)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(13)
+    w = 1
+    while w < WINDOW:  # sums over twice as many ids, each shifted by its place
+        h = h[w:] + (h[:-w] << np.uint32(w))
+        w *= 2
+    return np.flatnonzero(h < np.uint32((1 << 32) // MEAN)) + WINDOW
+
+
+def cut_points(n: int, cuts: list[int]) -> list[int]:
+    """Ends of the chunks of n ids that may be cut at cuts."""
     if n <= LEAST:
         return [n] if n else []
-    h = rolling(mix(ids.astype(np.uint64) + np.uint64(1)), WINDOW)
     ends, at = [], 0
-    for p in (np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + WINDOW).tolist():
+    for p in cuts:
         while p - at > MOST:
             at += MOST
             ends.append(at)
@@ -126,13 +136,47 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
 
 
+def inside(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words with 8 zeros before and after, and where there each word begins and ends."""
+    if not len(words):
+        return np.zeros(16, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset)
+    raw = np.zeros(bounds[-1] - bounds[0] + 16, np.uint8)
+    if len(raw) > 16:
+        raw[8:-8] = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0] + 8
+    return raw, bounds[:-1], bounds[1:]
+
+
+#: The first k of 8 bytes, by k.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_keys(words: pa.LargeStringArray) -> np.ndarray:
+    """64-bit hashes of words, by their length, first 32 and last 8 bytes; different words may share one."""
+    raw, starts, ends = inside(words)
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    h = mix((ends - starts).astype(np.uint64) + np.uint64(1))
+    for k in range(0, 32, 8):
+        some = np.flatnonzero(ends - starts > k)
+        if not len(some):
+            return h
+        at = starts[some] + k
+        h[some] = mix(h[some] ^ (eights[at] & FIRST[np.minimum(ends[some] - at, 8)]))
+    some = np.flatnonzero(ends - starts > 32)
+    h[some] = mix(h[some] ^ eights[ends[some] - 8])
+    return h
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library.
 
     The tokenizer's normaliser and pre-tokenizer never join across a space or a newline (both are dropped), so a text's
     ids are those of its space-separated words one after the other, and a word's those of its pieces. New pieces are
     encoded by the library, together, and kept with their words. Where it is plain what the normaliser and the
-    pre-tokenizer make of a word, the library's model is given its pieces alone; other words go the whole way.
+    pre-tokenizer make of a word, the library's model is given its pieces alone; other words go the whole way. A mark
+    that ends a word after a letter is a piece of its own, so words are kept without it.
     """
 
     def __init__(self, path: str):
@@ -145,12 +189,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(bare))
+        self.run = ""
         self.forget()
         self.added = tuple(a.content.lower() for a in self.tokenizer.get_added_tokens_decoder().values())
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.spelled = np.array([ord(" ") if b == 32 else ord(c) for b, c in sorted(byte_letters().items())], "<u4")
+        self.marks = np.full(256, -1)  # ids of STOPS that have one each
+        for c in STOPS:
+            got = self.tokenizer.encode(c, add_special_tokens=False).ids
+            if len(got) == 1:
+                self.marks[ord(c)] = got[0]
         self.letters: set[str] = set("abcdefghijklmnopqrstuvwxyz")
         self.others: set[str] = set()
 
@@ -180,10 +230,39 @@ class WordEncoder:
             return None
         return ids, np.diff(ends[np.cumsum(counts)], prepend=0)
 
-    def _learn(self, words: pa.LargeStringArray, easy: bool) -> np.ndarray:
+    def _endings(self, words: pa.LargeStringArray) -> np.ndarray:
+        """The id of the mark that ends each word after a lower-case letter of ASCII or Latin-1, else -1."""
+        raw, starts, ends = inside(words)
+        last, one, two = (raw[ends - k] for k in (1, 2, 3))
+        ascii = (one >= 97) & (one <= 122) & (ends - starts > 1)
+        latin = (two == 0xC3) & (one >= 0x9F) & (one <= 0xBF) & (one != 0xB7) & (ends - starts > 2)
+        return np.where(ascii | latin, self.marks[last], -1)
+
+    def _find(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word is kept, -1 for new ones, and the words' keys. A key leads to a word, which has to be the same."""
+        keys, at = word_keys(words), np.full(len(words), -1)
+        if len(self.keys) and len(keys):
+            order = np.argsort(keys)
+            places = np.minimum(np.searchsorted(self.keys, keys[order]), len(self.keys) - 1)
+            hit = self.keys[places] == keys[order]
+            some, kept = order[hit], self.places[places[hit]]
+            same = pc.equal(self.words.take(pa.array(kept)), words.take(pa.array(some))).to_numpy(zero_copy_only=False)
+            at[some[same]] = kept[same]
+        return at, keys
+
+    def _keep(self, words: pa.LargeStringArray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add words to those kept; of words that share a key the first is found."""
+        order = np.argsort(keys, kind="stable")
+        before = np.searchsorted(self.keys, keys[order], "right")
+        self.keys, self.places = np.insert(self.keys, before, keys[order]), np.insert(self.places, before, len(self.words) + order)
+        self.words = pa.concat_arrays([self.words, words])
+        self.again = np.append(self.again, np.zeros(len(words), bool))
+        self.ids, self.bounds = np.concatenate([self.ids, ids]), np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+
+    def _learn(self, words: pa.LargeStringArray, keys: np.ndarray, easy: bool) -> np.ndarray:
         """Keep the ids of words, of lowered texts if easy: from their pieces where these are plain, else by the whole tokenizer.
 
-        Returns where each is kept.
+        keys: theirs. Returns where each is kept.
         """
         plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) if easy else np.zeros(len(words), bool)
         parts: list[tuple[int, list[str]]] = []
@@ -200,15 +279,10 @@ class WordEncoder:
                 rest.append(k)
         some = words.filter(pa.array(plain))
         runs = pa.ListArray.from_arrays(pa.array([*range(0, len(some), TOGETHER), len(some)], pa.int32()), some)
-        texts = []
-        for t in pc.binary_join(runs, pa.scalar(" ", pa.large_string())).to_pylist():
-            for c in STOPS:  # at ends of words only
-                t = t.replace(c, f" {c}")
-            texts.append(t)
-        counts = 1 + pc.match_substring_regex(some, STOPPED).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = pc.binary_join(runs, pa.scalar(" ", pa.large_string())).to_pylist()
         joined = [" ".join(x) for _, x in parts]
         texts += [" ".join(joined[a : a + TOGETHER]) for a in range(0, len(joined), TOGETHER)]
-        counts = np.concatenate([counts, np.array([len(x) for _, x in parts], np.int64)])
+        counts = np.concatenate([np.ones(len(some), np.int64), np.array([len(x) for _, x in parts], np.int64)])
         at = np.flatnonzero(~plain)
         order = np.concatenate([np.flatnonzero(plain), at[[k for k, _ in parts]], at[rest]]).astype(np.int64)
         got = self._together(texts, counts)
@@ -220,32 +294,55 @@ class WordEncoder:
         ids, sizes = np.concatenate([got[0], *whole]), np.append(got[1], [len(x) for x in whole]).astype(np.int64)
         where = np.empty(len(words), np.int64)
         where[order] = len(self.words) + np.arange(len(words))
-        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
-        self.ids, self.bounds = np.concatenate([self.ids, ids]), np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self._keep(words.take(pa.array(order)), keys[order], ids, sizes)
         return where
 
     def _joined(self, texts: list[str], easy: bool) -> list[bytes]:
         """Ids of texts, of lowered ones if easy: words are told apart by Arrow, each distinct one is looked up once."""
         lists = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        words = coded.dictionary
+        ending = self._endings(words) if easy else np.full(len(words), -1)
+        marked = ending >= 0
+        order = np.concatenate([np.flatnonzero(~marked), np.flatnonzero(marked)])
+        stems = pc.ascii_rtrim(words.filter(pa.array(marked)), "".join(STOPS))
+        bare = pa.concat_arrays([words.filter(pa.array(~marked)), stems]).dictionary_encode()
+        at, keys = self._find(bare.dictionary)
         new = at < 0
+        self.again[at[~new]] = True
         if new.any():
-            at[new] = self._learn(coded.dictionary.filter(pa.array(new)), easy)
-        which = at[coded.indices.to_numpy()]
-        starts, n = self.bounds[which], self.bounds[which + 1] - self.bounds[which]
+            at[new] = self._learn(bare.dictionary.filter(pa.array(new)), keys[new], easy)
+        kept = np.empty(len(words), np.int64)
+        kept[order] = at[bare.indices.to_numpy()]
+        # the ids of each distinct word with its mark, then those of all words from there
+        n = self.bounds[kept + 1] - self.bounds[kept] + marked
         ends = np.cumsum(n)
-        raw = self.ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        own = self.ids.take(np.repeat(self.bounds[kept] - (ends - n), n) + np.arange(n.sum()), mode="clip")
+        own[ends[marked] - 1] = ending[marked]
+        which = coded.indices.to_numpy()
+        n, froms = n[which], (ends - n)[which]
+        ends = np.cumsum(n)
+        raw = own[np.repeat(froms - (ends - n), n) + np.arange(n.sum())].tobytes()
         cuts = (4 * np.insert(ends, 0, 0)[lists.offsets.to_numpy()]).tolist()
         return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
     def forget(self) -> None:
         """Drop the words kept."""
-        self.words, self.ids, self.bounds = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.zeros(1, np.int64)
+        self.words, self.ids, self.bounds = pa.array([], pa.large_string()), np.zeros(1, "<u4"), np.ones(1, np.int64)  # the first id is no word's
+        self.keys, self.places, self.again = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def _thin(self) -> None:
+        """Drop the words that weren't met again since the last time, or all where too many were."""
+        kept = np.flatnonzero(self.again)
+        words, ids, starts, n = self.words, self.ids, self.bounds[kept], np.diff(self.bounds)[kept]
+        self.forget()
+        if 2 * len(kept) <= KEPT_WORDS:
+            words = words.take(pa.array(kept))
+            self._keep(words, word_keys(words), ids[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())], n)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:
-            self.forget()
+            self._thin()
         low = [lowered(t, self.added) for t in texts]
         easy = iter(self._joined([t for t in low if t is not None], True))
         hard = iter(self._joined([t for t, x in zip(texts, low, strict=True) if x is None], False))
@@ -255,10 +352,15 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, run: str = "") -> WordEncoder:
+    """The worker's encoder; it keeps words for the tasks of one run, the next run starts without any."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    of = _ENCODERS[path]
+    if of.run != run:
+        of.forget()
+        of.run = run
+    return of
 
 
 def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -269,37 +371,37 @@ def write_store(docs: DataFrame, to: str, path: str, end_id: int = 2, id_col: st
     last = np.array([end_id], "<u4").tobytes()
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, task, count = encoder(path), TaskContext.get().partitionId(), 0
-        try:
-            for batch in batches(it, "text", 4 << 20):
-                seen: set[bytes] = set()  # once a batch is enough
-                names, sizes, data, counts, lists, roots = [], [], [], [], [], []
-                for raw in of([t or "" for t in batch.column(1).to_pylist()]):
-                    raw += last
-                    ids = np.frombuffer(raw, "<u4")
-                    at, own = 0, []
-                    for end in cut_points(ids):
-                        piece = raw[4 * at : 4 * end]
-                        own.append(name := digest(piece))
-                        if name not in seen:
-                            seen.add(name)
-                            names.append(name)
-                            sizes.append(end - at)
-                            data.append(pack(piece))
-                        at = end
-                    counts.append(len(ids))
-                    lists.append(own)
-                    roots.append(merkle(own))
-                n, m = len(names), len(counts)
-                keys = [b"%d %d" % (task, count + k) for k in range(m)]  # one for each document
-                count += m
-                cols = [
-                    pa.array(["chunks"] * n + ["documents"] * m), pa.array(names + keys, pa.binary()), pa.array(sizes + counts, pa.int64()), pa.array(data + [None] * m, pa.binary()),
-                    pa.concat_arrays([pa.nulls(n, batch.column(0).type), batch.column(0)]), pa.array([None] * n + lists, pa.list_(pa.binary())), pa.array([None] * n + roots, pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["what", "digest", "n", "data", "doc_id", "digests", "root"])
-        finally:
-            of.forget()
+        of, task, count = encoder(path, to), TaskContext.get().partitionId(), 0
+        for batch in batches(it, "text", 4 << 20):
+            seen: set[bytes] = set()  # once a batch is enough
+            names, sizes, data, counts, lists, roots = [], [], [], [], [], []
+            raws = [raw + last for raw in of([t or "" for t in batch.column(1).to_pylist()])]
+            stops = np.cumsum([len(raw) // 4 for raw in raws])
+            starts = np.insert(stops[:-1], 0, 0)
+            cuts = cuts_in(np.frombuffer(b"".join(raws), "<u4"))
+            some = zip(np.searchsorted(cuts, starts + WINDOW).tolist(), np.searchsorted(cuts, stops, "right").tolist(), strict=True)
+            for raw, start, (a, b) in zip(raws, starts, some, strict=True):
+                at, own = 0, []
+                for end in cut_points(len(raw) // 4, (cuts[a:b] - start).tolist()):
+                    piece = raw[4 * at : 4 * end]
+                    own.append(name := digest(piece))
+                    if name not in seen:
+                        seen.add(name)
+                        names.append(name)
+                        sizes.append(end - at)
+                        data.append(pack(piece))
+                    at = end
+                counts.append(len(raw) // 4)
+                lists.append(own)
+                roots.append(merkle(own))
+            n, m = len(names), len(counts)
+            keys = [b"%d %d" % (task, count + k) for k in range(m)]  # one for each document
+            count += m
+            cols = [
+                pa.array(["chunks"] * n + ["documents"] * m), pa.array(names + keys, pa.binary()), pa.array(sizes + counts, pa.int64()), pa.array(data + [None] * m, pa.binary()),
+                pa.concat_arrays([pa.nulls(n, batch.column(0).type), batch.column(0)]), pa.array([None] * n + lists, pa.list_(pa.binary())), pa.array([None] * n + roots, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["what", "digest", "n", "data", "doc_id", "digests", "root"])
 
     schema = f"digest binary, n long, data binary, doc_id {kind}, digests array<binary>, root binary"
     n_buckets = partitions_for(spark, narrow)

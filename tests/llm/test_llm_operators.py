@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -508,6 +509,71 @@ def test_word_encoder_keeps_no_object_for_each_word():
         tracemalloc.stop()
 
 
+def test_word_encoder_asks_for_each_word_once(spark, docs, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    encode, asked = token_store.WordEncoder(path), []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(w for t in texts for w in t.split())
+            return self.of.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+    encode.model, encode.tokenizer = Counted(encode.model), Counted(encode.tokenizer)
+    encode(["thatoun ofing schübch"])
+    first = len(asked)
+    encode(["thatoun. Thatoun, ofing! OFING? schübch; schübch: thatoun", "ofing,"])
+    assert first == 3 and len(asked) == first
+    # tasks that come after others of their run find its words, those of another run none
+    to = str(tmp_path / "store")
+    token_store.write_store(docs, to, path)
+    for run in (to, "another"):
+        count = lambda it, run=run: (pa.RecordBatch.from_pydict({"n": [len(token_store.encoder(path, run).words)]}) for _ in it)
+        assert (spark.range(0, 8, 1, 8).mapInArrow(count, "n long").agg(F.max("n")).first()[0] > 0) == (run == to)
+
+
+def test_word_encoder_on_marks_keys_and_dropped_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(14)
+    known = Tokenizer.from_file(path)
+    marked = [f"{a}{chr(c)}{m}{b}" for c in [*range(33, 0x180), 0x387, 0x3B1, 0x3002, 0x20AC] for m in ".;!" for a, b in (("", ""), ("a", ""), ("é", " "), ("'", ""), ("3", "'s."))]
+    words = ["".join(rng.choices("abé÷'.,", k=rng.randint(0, 12))) for _ in range(400)]
+    words += [a + "x" * k + b for k in (7, 8, 9, 31, 32, 33, 40, 41, 300) for a in "ab" for b in ("", "c", ".", "c." * 5)]
+    texts = [*marked, *(" ".join(rng.choices(words, k=40)) for _ in range(60))]
+    want = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    same_key = lambda words: np.full(len(words), 5, np.uint64)
+    for kept, keys in ((token_store.KEPT_WORDS, token_store.word_keys), (50, token_store.word_keys), (0, token_store.word_keys), (token_store.KEPT_WORDS, same_key), (50, same_key)):
+        monkeypatch.setattr(token_store, "KEPT_WORDS", kept)
+        monkeypatch.setattr(token_store, "word_keys", keys)
+        encode = token_store.WordEncoder(path)
+        for _ in range(2):
+            for a in range(0, len(texts), 37):
+                got = encode(texts[a : a + 37])
+                assert [np.frombuffer(x, "<u4").tolist() for x in got] == want[a : a + 37]
+
+
+def test_chunks_are_cut_by_their_ids_alone():
+    rng = np.random.default_rng(15)
+    one, other = rng.integers(0, 49_408, 60_000).astype("<u4"), rng.integers(0, 49_408, 700).astype("<u4")
+    pieces = lambda ids: [x.tobytes() for x in np.split(ids, token_store.cut_points(len(ids), token_store.cuts_in(ids).tolist())[:-1])]
+    alone, moved = pieces(one), pieces(np.concatenate([other, one]))
+    assert b"".join(alone) == one.tobytes() and all(token_store.LEAST <= len(x) // 4 <= token_store.MOST for x in alone[:-1])
+    assert 500 < len(one) / len(alone) < 2000 and len(set(alone) & set(moved)) > 0.8 * len(alone)
+    # the cuts of a document among others are its own
+    cuts = token_store.cuts_in(np.concatenate([other, one]))
+    assert (cuts[cuts >= len(other) + token_store.WINDOW] - len(other)).tolist() == token_store.cuts_in(one).tolist()
+    same = np.full(30_000, 7, "<u4")
+    assert sum(map(len, pieces(same))) == 120_000 and max(map(len, pieces(same))) <= 4 * token_store.MOST
+    for n in (0, 1, token_store.WINDOW - 1, token_store.WINDOW):
+        assert len(token_store.cuts_in(one[:n])) <= (n == token_store.WINDOW)
+
+
 def test_ngram_join(spark, nothing):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(400)]
