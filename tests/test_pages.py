@@ -85,3 +85,39 @@ def test_listed_words_are_no_words_by_frequency(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": [0, 9], "text": [t for _, t in texts], "lang": [x for x, _ in texts]}), f"{tmp_path}/documents.parquet")
     got, want = _same(spark, str(tmp_path), "looks_like_word")
     assert got == want and ("miso", False) in got and ("common", True) in got
+
+
+@pytest.mark.parametrize("name", ["words_to_lines", "psm_race", "variant_choice"])
+def test_words_stay_where_their_page_lies(spark, odd, name):
+    """Every word of four modes was shuffled; now only raw texts are. Repeated ids are one page."""
+    got, want = _same(spark, odd, name)
+    assert got == want and len(got) > 0
+    plan = Q.QUERIES[name](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("name", ["raster_level", "raster_column_ink", "raster_column_ranges"])
+def test_images_come_a_few_at_a_time(spark, name):
+    """Up to 10,000 images were drawn at once."""
+    from quiresmith.plans import fixtures as fx
+
+    drawn = list(fx.raster_batches(iter([pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64())], ["doc_id"])])))
+    assert max(b.num_rows for b in drawn) <= 256 and sum(b.num_rows for b in drawn) == 1000
+    plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_ranges_of_a_page_equal_those_of_tables(spark):
+    import random
+
+    import numpy as np
+
+    from quiresmith.operators import profile
+
+    r = random.Random(3)
+    made = [(p, w, 100, [0.0 if r.random() < 0.02 else 200.0 for _ in range(w)]) for p, w in enumerate([300, 600, 1500, 7])]
+    made += [(9, 600, 1000, [0.0] * 600), (10, 600, 1000, [0.0 if x < 40 or 100 < x < 130 or 300 < x < 320 or x > 560 else 200.0 for x in range(600)]), (11, 500, 1000, [300.0] * 500)]
+    rows = [(p, x, v, w, h) for p, w, h, ink in made for x, v in enumerate(ink)]
+    table = profile.column_ranges(profile.boundaries(profile.smooth(spark.createDataFrame(rows, "page_id long, x long, ink double, w long, h long"))))
+    got = [(p, k, a, b) for p, w, h, ink in made for k, (a, b) in enumerate(profile.page_ranges(np.array(ink), w, h))]
+    assert sorted(map(tuple, table.collect())) == got
