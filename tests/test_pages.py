@@ -121,3 +121,44 @@ def test_ranges_of_a_page_equal_those_of_tables(spark):
     table = profile.column_ranges(profile.boundaries(profile.smooth(spark.createDataFrame(rows, "page_id long, x long, ink double, w long, h long"))))
     got = [(p, k, a, b) for p, w, h, ink in made for k, (a, b) in enumerate(profile.page_ranges(np.array(ink), w, h))]
     assert sorted(map(tuple, table.collect())) == got
+
+
+@pytest.mark.parametrize("name", ["column_clusters", "banner_sections", "paragraph_joins", "format_mixed", "assemble_markdown"])
+def test_pages_are_laid_out_where_they_lie(spark, odd, name):
+    """Windows sorted the lines of many pages in a task, and lines were joined with the words they ask about."""
+    plan = Q.QUERIES[name](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_pages_in_memory_equal_tables(spark, monkeypatch):
+    """Fewer words than are asked about may be sent: then lines meet them by joins, as before."""
+    from quiresmith.operators import formatting
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("column_clusters", "banner_sections"):
+        got, want = _same(spark, folder, name)
+        assert got == want and len(got) > 0
+    for name in ("paragraph_joins", "format_mixed", "assemble_markdown"):
+        sent = sorted(map(tuple, Q.QUERIES[name](spark, folder).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(formatting, "known_words", lambda *_: None)
+            assert sorted(map(tuple, Q.QUERIES[name](spark, folder).collect())) == sent
+
+
+def test_long_joins_take_linear_time():
+    """Each hyphen at a break read all of the text before it."""
+    import random
+    import time
+
+    from quiresmith.functions import folds
+
+    r = random.Random(1)
+    lines = [r.choice(["ab-", "cd ef-", " gh", "", "I-", "xyz", "-", "tail ", "Über-", "é"]) for _ in range(500)]
+    one = lines[0].strip()
+    for x in lines[1:]:
+        one = folds.join_two(one, x, {"abgh": 3.0, "cdgh": 1.0})
+    assert folds.join_all(lines, {"abgh": 3.0, "cdgh": 1.0}) == one
+    many = ["some words of prose and table-", "spoons of it that go on and-"] * 20_000
+    began = time.time()
+    folds.join_all(many, {})
+    assert time.time() - began < 5
